@@ -86,8 +86,8 @@ def similar_pairs(spark, sf):
     )
 
 
-_SIMILAR = """select l.id as first_id, cast(sum(a.cnt) as bigint) as cnt, 1000 + l.id % 1000 as size_bytes
-  from assigned a join nodes l on l.rn = a.leader_rn group by l.id having sum(a.cnt) > 1"""
+_SIMILAR = """select l.id as first_id, cast(sum(a.cnt) as bigint) as cnt, (1000 + bit_count(l.h))::bigint as size_bytes
+  from assigned a join nodes l on l.rn = a.leader_rn group by l.id, l.h having sum(a.cnt) > 1"""
 
 
 @query("similar_sets", sql(
@@ -105,8 +105,8 @@ def similar_sets(spark, sf):
           from ({_SIMILAR}) group by cnt
         union all
         select 'exact', cnt, count(*), cast(sum(size_bytes * (cnt - 1)) as bigint) from (
-          select count(*) as cnt, 1000 + arg_min(id, row(id * 3600 % 18000000, id)) % 1000 as size_bytes
-          from (select h, id, (id % 5000) as hours from sketch) group by h having count(*) > 1) group by cnt""",
+          select count(*) as cnt, (1000 + bit_count(h))::bigint as size_bytes from sketch group by h having count(*) > 1)
+        group by cnt""",
     "walk", "leader", "assigned", "sketch"))
 def all_duplicate_sets(spark, sf):
     files = fx.sketch_files(spark, sf)

@@ -77,9 +77,9 @@ def sketches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sketch_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The sketches as an inventory; equal sketches of one hundred neighbours share a content."""
+    """The sketches as an inventory; equal sketches are equal contents."""
     return sketches(spark, sf).selectExpr(
-        "path", "cast(1000 + id % 1000 as bigint) as size_bytes",
+        "path", "cast(1000 + bit_count(sketch) as bigint) as size_bytes",
         "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, cast(id % 5000 as int)) as modified_time",
         "sha2(cast(sketch as string), 256) as hash", "false as is_symlink", "sketch",
     )
@@ -214,9 +214,10 @@ select p.rn, case when list_has_any(w.leaders, p.preds) then w.leaders else list
 from walk w join preds p on p.rn = w.rn + 1""",
     "leader": "select unnest(leaders) as rn from walk where rn = (select max(rn) from walk)",
     "assigned": """
-select n.rn, n.h, n.id, n.cnt, coalesce(min(p.a) filter (p.a in (select rn from leader)), n.rn) as leader_rn
-from nodes n left join pairs p on p.b = n.rn and n.rn not in (select rn from leader)
-group by all""",
+select n.rn, n.h, n.id, n.cnt, coalesce(x.leader_rn, n.rn) as leader_rn
+from nodes n left join (
+  select p.b, min(p.a) as leader_rn from pairs p join leader l on l.rn = p.a
+  where p.b not in (select rn from leader) group by p.b) x on x.b = n.rn""",
     "evt": """
 select event_id, '/inbox/u' || user_id as path,
  case when event_type = 'signup' then 'created' else 'modified' end as event_type,
@@ -262,7 +263,7 @@ select distinct '/corpus/' || top as source, '/corpus/all_Folders/' || top as de
 from scoped where scope = 'directory' and top <> '.devAI'""",
     "crowded": """
 select o.destination, count(*) as n_ops, any_value(d.path) is not null as occupied,
- arg_min(source, phase || source) as first_source, arg_max(source, phase || source) as last_source
+ arg_min(o.source, o.phase || o.source) as first_source, arg_max(o.source, o.phase || o.source) as last_source
 from ops o left join doc d on d.path = o.destination
 group by o.destination having count(*) > 1 or any_value(d.path) is not null""",
     "numbers": """
@@ -294,7 +295,7 @@ from (select path, unnest(range(2, len(string_split(path, '/')))) as n from doc)
     "dirs_after": """
 select distinct array_to_string(list_slice(string_split(path, '/'), 1, n), '/') as path
 from (select path, unnest(range(2, len(string_split(path, '/')))) as n from after)""",
-    "state": "select path, length(path) % 5 <> 0 as writable from dirs_before",
+    "state": "select path, length(path) % 3 <> 0 as writable from dirs_before",
     "log": "select phase, source, final_destination as destination, hash from resolved",
 }
 _RECURSIVE = {"walk"}

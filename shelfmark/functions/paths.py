@@ -1,4 +1,8 @@
-"""Column functions over '/'-separated paths."""
+"""Column functions over '/'-separated paths.
+
+They mention their argument once where they can: Catalyst repeats the whole expression behind a
+column at every mention when it pushes filters down.
+"""
 
 from __future__ import annotations
 
@@ -12,24 +16,23 @@ def base_name(path: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     """Last suffix with its dot, or '' (none for ``.bashrc``, ``a.`` and ``noext``)."""
-    name = base_name(path)
-    tail = F.substring_index(name, ".", -1)
-    has_suffix = (F.length(tail) > 0) & (F.length(tail) + 1 < F.length(name))
-    return F.when(has_suffix, F.concat(F.lit("."), tail)).otherwise(F.lit(""))
+    return F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
 
 
 def extension(path: Column) -> Column:
     return F.lower(suffix(path))
 
 
+def without_suffix(path: Column) -> Column:
+    return F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", "")
+
+
 def stem(path: Column) -> Column:
-    name = base_name(path)
-    return F.left(name, F.length(name) - F.length(suffix(path)))
+    return without_suffix(base_name(path))
 
 
 def parent(path: Column) -> Column:
-    head = F.left(path, F.length(path) - F.length(base_name(path)) - 1)
-    return F.when(head == "", F.lit("/")).otherwise(head)
+    return F.regexp_replace(path, "^(/)[^/]*$|/[^/]*$", "$1")
 
 
 def depth(path: Column) -> Column:

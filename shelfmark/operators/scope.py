@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.config import JobConfig
@@ -20,22 +22,27 @@ def with_scope(inventory: DataFrame, root: str, cfg: JobConfig) -> DataFrame:
     ``directory`` (below a root directory that moves as a whole), ``ignored_directory`` (below a
     root directory that is left alone) or ``outside``. One pass, no shuffle.
     """
-    rel = paths.relative(F.col("path"), root)
-    top = F.when(F.contains(rel, F.lit("/")), F.substring_index(rel, "/", 1))
-    top_path = paths.joined(root, top)
-    globs = lambda p: matches_any(p, cfg.ignore_patterns, cfg.recursive_globs)
-    hidden = lambda p: paths.is_hidden(p) if cfg.ignore_hidden else F.lit(False)
     path = F.col("path")
-    scope = (
-        F.when(rel.isNull(), F.lit("outside"))
-        .when(top.isNotNull() & (hidden(top) | globs(top_path)), F.lit("ignored_directory"))
-        .when(top.isNotNull() & ~top.startswith(cfg.directory_prefix), F.lit("directory"))
-        .when(hidden(path), F.lit("hidden"))
-        .when(globs(path), F.lit("pattern"))
+    base = "^" + re.sub(r"([^\w/])", r"\\\1", root.rstrip("/")) + "/"
+    prefix = re.sub(r"([^\w/])", r"\\\1", cfg.directory_prefix)
+    top = F.regexp_extract(path, f"{base}([^/]+)/", 1)
+    top_path = F.regexp_extract(path, f"({base}[^/]+)/", 1)
+
+    def ignored(p: Column) -> Column:
+        return matches_any(p, cfg.ignore_patterns, cfg.recursive_globs)
+
+    scope = F.when(~paths.under(path, root), F.lit("outside"))
+    if cfg.ignore_hidden:
+        scope = scope.when(path.rlike(base + r"\.[^/]*/"), F.lit("ignored_directory"))
+    scope = scope.when(ignored(top_path), F.lit("ignored_directory")).when(
+        path.rlike(f"{base}(?!{prefix})[^/]+/"), F.lit("directory")
     )
+    if cfg.ignore_hidden:
+        scope = scope.when(path.rlike(r"/\.[^/]*$"), F.lit("hidden"))
+    scope = scope.when(ignored(path), F.lit("pattern"))
     if not cfg.follow_symlinks:
         scope = scope.when(F.col("is_symlink"), F.lit("symlink"))
-    return inventory.withColumn("top", top).withColumn("scope", scope.otherwise(F.lit(FILE)))
+    return inventory.withColumn("top", F.nullif(top, F.lit(""))).withColumn("scope", scope.otherwise(F.lit(FILE)))
 
 
 def files_in_scope(scoped: DataFrame) -> DataFrame:

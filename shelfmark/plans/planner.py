@@ -247,9 +247,7 @@ def _numbered(contested: DataFrame, names: DataFrame, hot_rows: int) -> DataFram
     ).where("_mark = 0")
     number = (F.col("_r") + F.col("_before")).cast("string")
     dest = F.col("destination")
-    renamed = F.concat(
-        F.left(dest, F.length(dest) - F.length(paths.suffix(dest))), F.lit("_"), number, paths.suffix(dest)
-    )
+    renamed = F.concat(paths.without_suffix(dest), F.lit("_"), number, paths.suffix(dest))
     return _outcome(keeping, dest, F.lit("planned")).unionByName(
         _outcome(counted, renamed, F.lit("planned"))
     )
@@ -259,7 +257,7 @@ def _numbered_forms_of(path: str) -> Column:
     """All (destination, number) whose numbered form is the given path: at most two."""
     p = F.col(path)
     suffix = paths.suffix(p)
-    body = F.left(p, F.length(p) - F.length(suffix))
+    body = paths.without_suffix(p)
     usual = F.struct(
         F.concat(F.regexp_extract(body, r"^(.*[^/])_[1-9][0-9]{0,17}$", 1), suffix).alias("destination"),
         F.regexp_extract(body, r"_([1-9][0-9]{0,17})$", 1).try_cast("bigint").alias("number"),
