@@ -12,12 +12,14 @@ from shelfmark.config import JobConfig
 from shelfmark.operators import apply, validate
 from shelfmark.plans import planner, report
 from shelfmark.plans.organizer import Organizer
+from shelfmark.session import staged
 
 INVENTORY = ["path", "size_bytes", "hash", "modified_time", "is_symlink"]
 
 
 def doc_inventory(spark, sf):
-    return fx.doc(spark, sf).select(*INVENTORY)
+    """The documents as an inventory table: contents are hashed once and then left alone."""
+    return staged(fx.doc(spark, sf).select(*INVENTORY), "inventory")
 
 
 def organizer(spark, **changes):
@@ -54,7 +56,8 @@ def full_plan(spark, sf):
 @query("destination_conflicts", sql(
     "select destination, n_ops, occupied, first_source, last_source from crowded", "crowded"))
 def destination_conflicts(spark, sf):
-    return planner.destination_conflicts(doc_plan(spark, sf).ops, doc_inventory(spark, sf))
+    plan = doc_plan(spark, sf)
+    return planner.destination_conflicts(plan.ops, plan.inventory)
 
 
 def resolved_plan(spark, sf, **changes):
@@ -165,11 +168,12 @@ def validate_space(spark, sf):
 
 @query("validate_permissions", sql(_PERMISSION_SQL, "ops", "state"))
 def validate_permissions(spark, sf):
-    return validate.check_permissions(doc_plan(spark, sf).ops, state(spark, sf))
+    plan = doc_plan(spark, sf)
+    return validate.check_permissions(plan.ops, state(plan.inventory))
 
 
-def state(spark, sf):
-    folders = apply.known_directories(doc_inventory(spark, sf), DOC_ROOT)
+def state(inventory):
+    folders = apply.known_directories(inventory, DOC_ROOT)
     return folders.withColumn("writable", F.length("path") % 3 != 0)
 
 
@@ -193,7 +197,8 @@ def validate_same_target(spark, sf):
 
 @query("validate_existing_target", sql(_EXISTING_SQL, "ops", "doc"))
 def validate_existing_target(spark, sf):
-    return validate.check_existing_target(doc_plan(spark, sf).ops, doc_inventory(spark, sf))
+    plan = doc_plan(spark, sf)
+    return validate.check_existing_target(plan.ops, plan.inventory)
 
 
 @query("validate_sources", sql(
@@ -201,23 +206,27 @@ def validate_existing_target(spark, sf):
         then 'Source file does not exist' else 'Source is not a file' end as message from ops where hash < '2'""", "ops"))
 def validate_sources(spark, sf):
     """A sixteenth of the inventory is gone and another one turned into directories."""
-    now = doc_inventory(spark, sf).where("hash >= '1'").withColumn(
+    plan = doc_plan(spark, sf)
+    now = plan.inventory.where("hash >= '1'").withColumn(
         "kind", F.when(F.col("hash") < "2", "directory").otherwise("file")
     )
-    return validate.check_sources(doc_plan(spark, sf).ops, now)
+    return validate.check_sources(plan.ops, now)
 
 
 @query("validate_links", with_links(_LINK_SQL.format(ops="(select path as source from doc where is_symlink)"), "doc"))
 def validate_links(spark, sf):
-    ops = doc_inventory(spark, sf).withColumnRenamed("path", "source")
-    return validate.check_links(ops, fx.links(spark, sf), doc_inventory(spark, sf))
+    inventory = doc_inventory(spark, sf)
+    ops = inventory.withColumnRenamed("path", "source")
+    return validate.check_links(ops, fx.links(spark, sf), inventory)
 
 
 def findings(spark, sf):
     job = organizer(spark)
+    inventory = doc_inventory(spark, sf)
+    plan = job.plan(inventory, DOC_ROOT)
     return job.validate(
-        job.plan(doc_inventory(spark, sf), DOC_ROOT),
-        available_bytes=SPACE, directories=state(spark, sf), links=fx.links(spark, sf),
+        plan.with_(ops=staged(plan.ops, "ops")),
+        available_bytes=SPACE, directories=state(inventory), links=fx.links(spark, sf),
     )
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from queries import fixtures as fx
 from queries.fixtures import DOC_ROOT, sql
-from queries.planning import doc_inventory, organizer, resolved_plan
+from queries.planning import doc_plan, organizer, resolved_plan
 from queries.registry import query
 from shelfmark.functions.formats import UNITS
 from shelfmark.operators import apply, dedup
 from shelfmark.operators.classify import by_extension
 from shelfmark.plans import report
+from shelfmark.plans.organizer import resolve_directories
 from shelfmark.session import new_folder
 from shelfmark.sources import layout, oplog
 from shelfmark.sources.rules import default_rules
@@ -29,7 +30,7 @@ def run(spark, sf):
 def partial_run(spark, sf):
     """A run whose inventory lost one file in sixteen between planning and applying."""
     outcome = run(spark, sf)
-    rest = doc_inventory(spark, sf).where("hash >= '1'")
+    rest = outcome.plan.inventory.where("hash >= '1'")
     return outcome, apply.operation_results(outcome.plan.resolved, rest)
 
 
@@ -59,9 +60,9 @@ def directories_created(spark, sf):
          as path from doc m left join dirops o on starts_with(m.path, o.source || '/')) where old_path <> path""",
     "doc", "dirops"))
 def apply_directory_ops(spark, sf):
-    _, plan = resolved_plan(spark, sf)
-    results = plan.resolved_dirs.withColumn("status", F.lit("ok"))
-    inventory = doc_inventory(spark, sf).withColumn("old_path", F.col("path"))
+    plan = doc_plan(spark, sf)
+    results = resolve_directories(plan).withColumn("status", F.lit("ok"))
+    inventory = plan.inventory.withColumn("old_path", F.col("path"))
     return apply.apply_directories(inventory, results, DOC_ROOT).where("path <> old_path").select("old_path", "path")
 
 
@@ -159,7 +160,7 @@ def organized_layout(spark, sf):
          printf('%.1f', count(*) / (select count(*) from resolved) * 100) || '%' as percentage
        from resolved group by split_part(final_destination, '/', -2)""", "resolved"))
 def category_statistics(spark, sf):
-    return report.category_statistics(run(spark, sf).results, DOC_ROOT)
+    return report.category_statistics(run(spark, sf).file_results, DOC_ROOT)
 
 
 def _size_text(x: str) -> str:
@@ -177,7 +178,7 @@ def _size_text(x: str) -> str:
                      (select cast(sum(space_wasted) as bigint) from sets) as space_wasted)""", "resolved", "sets"))
 def size_statistics(spark, sf):
     outcome = run(spark, sf)
-    return report.size_statistics(outcome.results, outcome.plan.sets)
+    return report.size_statistics(outcome.file_results, outcome.plan.sets)
 
 
 @query("failure_sample", sql(
@@ -206,7 +207,7 @@ def failure_sample(spark, sf):
 def summary_report(spark, sf):
     outcome = run(spark, sf)
     return report.summary_report(
-        outcome.results, outcome.plan.sets, DOC_ROOT, created=outcome.created, removed=outcome.removed
+        outcome.file_results, outcome.plan.sets, DOC_ROOT, created=outcome.created, removed=outcome.removed
     )
 
 
@@ -228,7 +229,7 @@ def report_duplicates_section(spark, sf):
 @query("report_text")
 def report_text(spark, sf):
     outcome = run(spark, sf)
-    return report.text_report(outcome.results, outcome.plan.sets, DOC_ROOT, outcome.created)
+    return report.text_report(outcome.file_results, outcome.plan.sets, DOC_ROOT, outcome.created)
 
 
 __all__ = ["fx"]

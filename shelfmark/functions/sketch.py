@@ -10,14 +10,16 @@ def average_sketch(grid: Column) -> Column:
     """Bit i is set when cell i is above the mean of the 64 cells; null for any other size."""
     cells = F.transform(grid, lambda v: v.cast("double"))
     mean = F.aggregate(cells, F.lit(0.0), lambda acc, v: acc + v) / F.lit(64.0)
-    bits = F.transform(
-        cells,
-        lambda v, i: F.when(v > mean, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(
-            F.lit(0).cast("bigint")
-        ),
-    )
-    folded = F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
-    return F.when(F.size(grid) == 64, folded)
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def folded(m: Column) -> Column:
+        bits = F.transform(
+            cells, lambda v, i: F.when(v > m, F.call_function("shiftleft", one, i)).otherwise(none)
+        )
+        return F.aggregate(bits, none, lambda acc, b: acc.bitwiseOR(b))
+
+    # The mean is bound to a variable, otherwise it would be taken again for every cell.
+    return F.when(F.size(grid) == 64, F.transform(F.array(mean), folded)[0])
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -38,7 +38,7 @@ def apply_files(inventory: DataFrame, results: DataFrame, replaces: bool = True)
     A row that an operation replaced disappears: it was moved and then overwritten, or it lay at
     the destination and did not move itself.
     """
-    moves = results.where(F.col("status").isin("ok", "overwritten")).select(
+    moves = results.where(F.col("status").isin("ok", "mismatch", "overwritten")).select(
         F.col("source").alias("path"), "final_destination", (F.col("status") == "overwritten").alias("_lost")
     )
     if not replaces:
@@ -47,7 +47,7 @@ def apply_files(inventory: DataFrame, results: DataFrame, replaces: bool = True)
             .withColumn("path", F.coalesce("final_destination", "path"))
             .select(*inventory.columns)
         )
-    targets = results.where(F.col("status") == "ok").select(
+    targets = results.where(F.col("status").isin("ok", "mismatch")).select(
         F.col("final_destination").alias("path"), F.lit(True).alias("_hit")
     )
     stays = F.col("final_destination").isNull()
@@ -78,6 +78,16 @@ def known_directories(inventory: DataFrame, root: str) -> DataFrame:
     return direct.select(F.explode(paths.ancestors(leaf, root)).alias("path")).distinct()
 
 
+def child_directories(inventory: DataFrame, folder: str) -> DataFrame:
+    """The directories directly below ``folder`` that hold a file at any depth."""
+    rest = paths.relative(F.col("path"), folder)
+    return (
+        inventory.where(paths.under(F.col("path"), folder) & F.contains(rest, F.lit("/")))
+        .select(paths.joined(folder, F.substring_index(rest, "/", 1)).alias("path"))
+        .distinct()
+    )
+
+
 def _head(path: Column, root: str, segments: int) -> Column:
     """Root and the first segments below it, when there is something below those."""
     rest = F.split(paths.relative(path, root), "/")

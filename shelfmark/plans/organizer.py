@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +21,64 @@ from shelfmark.sources.rules import default_rules, override_categories, rules_fr
 
 @dataclass(frozen=True)
 class Outcome:
-    """Lazy tables of an applied run."""
+    """An applied run. Its tables are built when first asked for."""
 
     plan: Plan
-    results: DataFrame
-    inventory: DataFrame
-    created: DataFrame
-    removed: DataFrame
+    file_results: DataFrame
     dry_run: bool = False
 
+    @cached_property
+    def dir_results(self) -> DataFrame:
+        return resolve_directories(self.plan).withColumn(
+            "status", F.when(F.col("status") == "planned", "ok").otherwise(F.col("status"))
+        )
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return self.file_results.unionByName(self.dir_results)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        """The inventory after the run."""
+        if self.dry_run:
+            return self.plan.inventory
+        moved = apply.apply_files(
+            self.plan.inventory, self.file_results,
+            replaces=self.plan.cfg.conflict_resolution == "overwrite",
+        )
+        return apply.apply_directories(moved, self.dir_results, self.plan.root)
+
+    @cached_property
+    def created(self) -> DataFrame:
+        created = apply.directories_created(self.file_results)
+        return created.where(F.lit(not self.dry_run))
+
+    @cached_property
+    def removed(self) -> DataFrame:
+        return apply.empty_directories(
+            self.plan.inventory, self.inventory, self.plan.root, self.plan.cfg.directory_prefix
+        ).where(F.lit(not self.dry_run))
+
     def metrics(self) -> DataFrame:
-        return apply.result_metrics(self.results)
+        return apply.result_metrics(self.file_results)
+
+
+def resolve_directories(plan: Plan) -> DataFrame:
+    """Final places of the directories that move as a whole."""
+    how = plan.cfg.conflict_resolution
+    home = plan.root.rstrip("/") + "/" + plan.cfg.managed_name(plan.cfg.folders_folder)
+    folders = apply.child_directories(plan.inventory, home)
+    if how != "overwrite":
+        return planner.resolve(plan.dir_ops, folders, how)
+    # A directory cannot be replaced by another one.
+    taken = folders.select(F.col("path").alias("final_destination"), F.lit(True).alias("_taken"))
+    return (
+        planner.resolve(plan.dir_ops, folders, how)
+        .join(taken, "final_destination", "left")
+        .withColumn("error", F.when(F.col("_taken"), F.concat(F.lit("Cannot overwrite "), "final_destination")))
+        .withColumn("status", F.when(F.col("_taken"), "failed").otherwise(F.col("status")))
+        .drop("_taken")
+    )
 
 
 class Organizer:
@@ -74,26 +122,11 @@ class Organizer:
         return planner.build_plan(inventory, root.rstrip("/") or "/", self.cfg, self.rules, self.classifier)
 
     def resolve(self, plan: Plan) -> Plan:
-        how = self.cfg.conflict_resolution
         ops = staged(plan.ops, "ops")
-        resolved = staged(planner.resolve(ops, plan.inventory, how), "resolved")
-        dir_ops = staged(plan.dir_ops, "dir-ops")
-        folders = apply.known_directories(plan.inventory, plan.root)
-        dirs = planner.resolve(dir_ops, folders, "rename" if how == "ask" else how)
-        if how == "overwrite":
-            # A directory cannot be replaced by another one.
-            taken = folders.select(F.col("path").alias("final_destination"), F.lit(True).alias("_taken"))
-            dirs = (
-                dirs.join(taken, "final_destination", "left")
-                .withColumn("error", F.when(F.col("_taken"), F.concat(F.lit("Cannot overwrite "), "final_destination")))
-                .withColumn("status", F.when(F.col("_taken"), "failed").otherwise(F.col("status")))
-                .drop("_taken")
-            )
+        resolved = staged(planner.resolve(ops, plan.inventory, self.cfg.conflict_resolution), "resolved")
         return plan.with_(
             ops=ops,
-            dir_ops=dir_ops,
             resolved=resolved,
-            resolved_dirs=dirs,
             skipped=resolved.where(F.col("status") == "skipped").select(F.col("source").alias("path")),
         )
 
@@ -115,40 +148,26 @@ class Organizer:
         )
 
     def apply(self, plan: Plan, dry_run: bool = False) -> Outcome:
-        """The inventory after the run. A dry run gives the same results and leaves the
-        inventory as it is."""
+        """A dry run gives the same results and leaves the inventory as it is."""
         if plan.resolved is None:
             plan = self.resolve(plan)
-        file_results = apply.operation_results(plan.resolved, plan.inventory)
-        dir_results = plan.resolved_dirs.withColumn(
-            "status", F.when(F.col("status") == "planned", "ok").otherwise(F.col("status"))
-        )
-        results = file_results.unionByName(dir_results)
-        if dry_run:
-            nothing = self.spark.createDataFrame([], "path string")
-            return Outcome(plan, results, plan.inventory, nothing, nothing, True)
-        moved = apply.apply_files(
-            plan.inventory, file_results, replaces=self.cfg.conflict_resolution == "overwrite"
-        )
-        after = apply.apply_directories(moved, dir_results, plan.root)
-        removed = apply.empty_directories(plan.inventory, after, plan.root, self.cfg.directory_prefix)
-        return Outcome(plan, results, after, apply.directories_created(file_results), removed)
+        return Outcome(plan, apply.operation_results(plan.resolved, plan.inventory), dry_run)
 
     def verify(self, outcome: Outcome, rescan: DataFrame) -> Outcome:
         """Marks operations whose content at the destination is not what was planned."""
-        moved = outcome.results.where((F.col("status") == "ok") & (F.col("kind") == "file"))
+        moved = outcome.file_results.where(F.col("status") == "ok")
         checked = dedup.verify_integrity(moved.select(F.col("final_destination").alias("path"), "hash"), rescan)
         bad = checked.where(F.col("status").isin("mismatch", "missing")).select(
             F.col("path").alias("final_destination"),
             F.concat(F.lit("Integrity verification failed: "), F.col("status")).alias("_bad"),
         )
         results = (
-            outcome.results.join(bad, "final_destination", "left")
+            outcome.file_results.join(bad, "final_destination", "left")
             .withColumn("error", F.coalesce("_bad", "error"))
             .withColumn("status", F.when(F.col("_bad").isNotNull(), "mismatch").otherwise(F.col("status")))
             .drop("_bad")
         )
-        return Outcome(outcome.plan, results, outcome.inventory, outcome.created, outcome.removed)
+        return replace(outcome, file_results=results)
 
     def write_log(self, outcome: Outcome, folder: str, run_id: str) -> None:
         """To be called before the new inventory is published. A dry run writes nothing."""

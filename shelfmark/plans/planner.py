@@ -6,7 +6,7 @@ size_bytes, hash, is_symlink, category, subcategory``. Their order is (phase, so
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from shelfmark.config import REASON_CLASSIFY, REASON_DUPLICATE, REASON_FOLDER, J
 from shelfmark.functions import paths
 from shelfmark.operators import dedup, scope, similarity
 from shelfmark.operators.classify import Classifier, classify, destination, duplicate_destination
+from shelfmark.session import staged
 from shelfmark.skew import HOT_ROWS, row_numbers, running_total
 
 ORDER = ["phase", "source"]
@@ -39,8 +40,7 @@ class Plan:
     errors: DataFrame
     similar: DataFrame | None = None
     resolved: DataFrame | None = None
-    resolved_dirs: DataFrame | None = None
-    skipped: DataFrame | None = field(default=None)
+    skipped: DataFrame | None = None
 
     def with_(self, **changes) -> Plan:
         return replace(self, **changes)
@@ -155,6 +155,10 @@ def destination_conflicts(ops: DataFrame, existing: DataFrame) -> DataFrame:
         F.min(order)["source"].alias("first_source"),
         F.max(order)["source"].alias("last_source"),
     )
+    return _crowded(wanted, existing)
+
+
+def _crowded(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     taken = existing.select(F.col("path").alias("destination"), F.lit(True).alias("occupied"))
     return (
         wanted.join(taken, "destination", "left")
@@ -200,57 +204,70 @@ def resolve_overwrite(ops: DataFrame, existing: DataFrame) -> DataFrame:
 
 def resolve_rename(ops: DataFrame, existing: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The first operation on a free name keeps it; the others get ``stem_N.suffix`` with the
-    smallest numbers that neither the inventory nor the plan uses, in operation order."""
-    crowded = destination_conflicts(ops, existing).select("destination", "occupied")
-    tagged = ops.join(crowded, "destination", "left")
-    alone = _outcome(tagged.where(F.col("occupied").isNull()), F.col("destination"), F.lit("planned"))
+    smallest numbers that neither the inventory nor the plan uses, in operation order.
+
+    The crowded destinations are written once: their number and the size of the largest decide
+    how the rest of the plan looks.
+    """
+    wanted = ops.groupBy("destination").agg(F.count(F.lit(1)).alias("n_ops"))
+    crowded = staged(_crowded(wanted, existing).select("destination", "n_ops", "occupied"), "crowded")
+    dotted = F.col("destination").endswith(".")
+    facts = crowded.agg(
+        F.max("n_ops").alias("largest"), F.count_if(dotted).alias("dotted")
+    ).first()
+    if facts["largest"] is None:
+        return _outcome(ops, F.col("destination"), F.lit("planned"))
+
+    alone = _outcome(ops.join(crowded, "destination", "left_anti"), F.col("destination"), F.lit("planned"))
     contested = row_numbers(
-        tagged.where(F.col("occupied").isNotNull()), ["destination"], ORDER, "_k", hot_rows
+        ops.join(crowded, "destination"), ["destination"], ORDER, "_k", hot_rows, facts["largest"] > hot_rows
     ).withColumn("_r", F.col("_k") - F.when(F.col("occupied"), F.lit(0)).otherwise(F.lit(1)))
 
-    names = existing.select("path").union(ops.select("destination")).distinct()
+    names = existing.select("path").union(ops.select("destination"))
     # A name may be a numbered form of two others only when one of these ends in a dot, so those
     # are numbered last, with all other results taken.
-    dotted = F.col("destination").endswith(".")
-    plain = _numbered(contested.where(~dotted), names, hot_rows)
-    odd = contested.where(dotted)
-    if odd.isEmpty():
-        return alone.unionByName(plain)
-    names = names.union(plain.select("final_destination")).distinct()
-    return alone.unionByName(plain).unionByName(_numbered(odd, names, hot_rows))
+    if not facts["dotted"]:
+        return alone.unionByName(_numbered(contested, crowded, names, hot_rows))
+    plain = staged(
+        _numbered(contested.where(~dotted), crowded.where(~dotted), names, hot_rows), "numbered"
+    )
+    names = names.union(plain.select("final_destination"))
+    odd = _numbered(contested.where(dotted), crowded.where(dotted), names, hot_rows)
+    return alone.unionByName(plain).unionByName(odd)
 
 
-def _numbered(contested: DataFrame, names: DataFrame, hot_rows: int) -> DataFrame:
+def _numbered(contested: DataFrame, crowded: DataFrame, names: DataFrame, hot_rows: int) -> DataFrame:
     """Turns the rank ``_r`` among the operations that need a number into the number itself.
 
     With the taken numbers t_1 < t_2 < …, the r-th free number is r plus the count of those i
     with t_i - i < r: a running count over operations and taken numbers together.
     """
-    taken = (
+    taken = staged(
         names.select(F.explode(_numbered_forms_of("path")).alias("form"))
         .select("form.destination", "form.number")
-        .distinct()
-        .join(contested.select("destination").distinct(), "destination", "left_semi")
+        .join(crowded.select("destination"), "destination", "left_semi")
+        .distinct(),
+        "taken",
     )
-    taken = row_numbers(taken, ["destination"], ["number"], "_i", hot_rows)
-    marks = taken.select(
+    dest = F.col("destination")
+
+    def outcome(rows: DataFrame, number: Column) -> DataFrame:
+        renamed = F.concat(paths.without_suffix(dest), F.lit("_"), number.cast("string"), paths.suffix(dest))
+        return _outcome(rows, F.when(F.col("_r") == 0, dest).otherwise(renamed), F.lit("planned"))
+
+    if taken.isEmpty():
+        return outcome(contested, F.col("_r"))
+    marks = row_numbers(taken, ["destination"], ["number"], "_i", hot_rows).select(
         "destination", (F.col("number") - F.col("_i")).alias("_pos"), F.lit(1).alias("_mark"),
         F.col("number").cast("string").alias("_tie"),
     )
-    keeping = contested.where("_r = 0")
-    moving = contested.where("_r > 0")
-    points = moving.select(
+    points = contested.select(
         "*", F.col("_r").alias("_pos"), F.lit(0).alias("_mark"), F.col("source").alias("_tie")
     ).unionByName(marks, allowMissingColumns=True)
     counted = running_total(
         points, ["destination"], ["_pos", "_mark", "_tie"], F.col("_mark").cast("bigint"), "_before", hot_rows
     ).where("_mark = 0")
-    number = (F.col("_r") + F.col("_before")).cast("string")
-    dest = F.col("destination")
-    renamed = F.concat(paths.without_suffix(dest), F.lit("_"), number, paths.suffix(dest))
-    return _outcome(keeping, dest, F.lit("planned")).unionByName(
-        _outcome(counted, renamed, F.lit("planned"))
-    )
+    return outcome(counted, F.col("_r") + F.col("_before"))
 
 
 def _numbered_forms_of(path: str) -> Column:

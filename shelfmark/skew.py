@@ -23,13 +23,14 @@ def running_total(
     value: Column,
     out: str,
     hot_rows: int = HOT_ROWS,
+    may_be_hot: bool = True,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key, in ``order`` (unique within a key).
 
     Ordinary keys go through one window. A hot key is cut by a range partitioning on
     (key, order) into chunks; each chunk is summed on its own and then shifted by the totals of
     the chunks before it. A key has at most one chunk per partition, so the second window only
-    sees a few rows per key.
+    sees a few rows per key. ``may_be_hot=False`` is for callers that have measured the keys.
     """
     def window(*by: str) -> Window:
         return Window.partitionBy(*by).orderBy(*order).rowsBetween(
@@ -37,8 +38,8 @@ def running_total(
         )
 
     df = df.withColumn("_v", value)
-    hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
+    hot = hot_keys(df, keys, hot_rows) if may_be_hot else None
+    if hot is None or hot.isEmpty():
         return df.withColumn(out, F.sum("_v").over(window(*keys))).drop("_v")
 
     hot = staged(hot, "hot-keys")
@@ -65,6 +66,11 @@ def running_total(
 
 
 def row_numbers(
-    df: DataFrame, keys: list[str], order: list[str], out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    out: str,
+    hot_rows: int = HOT_ROWS,
+    may_be_hot: bool = True,
 ) -> DataFrame:
-    return running_total(df, keys, order, F.lit(1).cast("bigint"), out, hot_rows)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), out, hot_rows, may_be_hot)
