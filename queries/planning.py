@@ -126,7 +126,7 @@ def custom_categories_used(spark, sf):
 
 # --- validation -------------------------------------------------------------------------------
 
-SPACE = 1_000_000
+SPACE = 10_000
 _FINDING = "select '{severity}' as severity, '{check}' as \"check\", "
 _ABOVE = """select folder, arg_max(s.path, length(s.path)) as nearest, arg_max(s.writable, length(s.path)) as writable
   from (select distinct regexp_replace(destination, '/[^/]*$', '') as folder from ops) o

@@ -13,7 +13,7 @@ from shelfmark.operators import apply, dedup
 from shelfmark.operators.classify import by_extension
 from shelfmark.plans import report
 from shelfmark.plans.organizer import resolve_directories
-from shelfmark.session import new_folder
+from shelfmark.session import new_folder, staged
 from shelfmark.sources import layout, oplog
 from shelfmark.sources.rules import default_rules
 
@@ -120,7 +120,7 @@ def undone(spark, sf):
     """A run whose result lost one file in sixteen is undone."""
     outcome = run(spark, sf)
     log = oplog.log_rows(outcome.results, "run-1")
-    return apply.undo(outcome.inventory.where("hash >= '1'"), log, DOC_ROOT)
+    return apply.undo(staged(outcome.inventory.where("hash >= '1'"), "published"), log, DOC_ROOT)
 
 
 @query("undo_plan", sql("select path, hash from doc where hash >= '1'", "doc"))

@@ -6,16 +6,12 @@ only ever reached by a join, so one hash may own any share of the files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Preference among copies: shortest path, then oldest, then path order.
-PREFERENCE = ("_len", "modified_time", "path")
-
-
-def preferred(*more: str):
+def preferred(*more: str) -> Column:
     """Aggregate: the preferred file as a struct with the columns ``path, modified_time`` and
-    ``more``."""
+    ``more``: the shortest path, then the oldest file, then path order."""
     rest = [F.col(c) for c in more]
     return F.min(
         F.struct(F.length("path").alias("_len"), F.col("modified_time"), F.col("path"), *rest)
@@ -63,6 +59,11 @@ def waste(sets: DataFrame) -> DataFrame:
     )
 
 
+def waste_struct(sets: DataFrame) -> Column:
+    """The figures of `waste` as one scalar struct, computed once."""
+    return waste(sets).select(F.struct("sets", "total_duplicates", "space_recoverable")).scalar()
+
+
 def totals(files: DataFrame) -> DataFrame:
     return files.agg(
         F.count(F.lit(1)).alias("total_files"),

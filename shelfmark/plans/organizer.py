@@ -84,8 +84,9 @@ def resolve_directories(plan: Plan) -> DataFrame:
 class Organizer:
     """Plans and applies runs over an inventory.
 
-    The methods return lazy tables, except where a decision needs a look at the data: `resolve`
-    stages the operations and measures how crowded their destinations are.
+    The methods return lazy tables, except `scan`, `resolve` and `apply`: these write what later
+    steps read several times (the hashed inventory, the operations, the results), and `resolve`
+    measures how crowded the destinations are.
     """
 
     def __init__(
@@ -151,7 +152,8 @@ class Organizer:
         """A dry run gives the same results and leaves the inventory as it is."""
         if plan.resolved is None:
             plan = self.resolve(plan)
-        return Outcome(plan, apply.operation_results(plan.resolved, plan.inventory), dry_run)
+        results = staged(apply.operation_results(plan.resolved, plan.inventory), "results")
+        return Outcome(plan, results, dry_run)
 
     def verify(self, outcome: Outcome, rescan: DataFrame) -> Outcome:
         """Marks operations whose content at the destination is not what was planned."""

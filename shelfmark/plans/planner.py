@@ -302,13 +302,13 @@ def categories_used(ops: DataFrame, root: str) -> DataFrame:
 def plan_metrics(ops: DataFrame, sets: DataFrame, root: str) -> DataFrame:
     """One row: operations, extra copies, recoverable bytes, folders used."""
     used = categories_used(ops, root).agg(F.count(F.lit(1)))
-    figures = dedup.waste(sets)
-    return ops.agg(F.count(F.lit(1)).alias("total_files")).select(
-        "total_files",
-        figures.select("sets").scalar().alias("duplicate_sets"),
-        figures.select("total_duplicates").scalar().alias("total_duplicates"),
-        figures.select("space_recoverable").scalar().alias("space_recoverable"),
-        used.scalar().alias("categories_used"),
+    return (
+        ops.agg(F.count(F.lit(1)).alias("total_files"))
+        .withColumn("copies", dedup.waste_struct(sets))
+        .select(
+            "total_files", F.col("copies.sets").alias("duplicate_sets"), "copies.total_duplicates",
+            "copies.space_recoverable", used.scalar().alias("categories_used"),
+        )
     )
 
 

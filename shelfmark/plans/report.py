@@ -40,9 +40,9 @@ def category_statistics(results: DataFrame, root: str, target: str = "final_dest
 def size_statistics(results: DataFrame, sets: DataFrame) -> DataFrame:
     moved = successful(results).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size"))
     wasted = dedup.waste(sets).select("space_recoverable").scalar()
-    return moved.select(
+    return moved.withColumn("space_wasted", wasted).select(
         "total_size", format_size(F.col("total_size")).alias("total_size_text"),
-        wasted.alias("space_wasted"), format_size(wasted).alias("space_wasted_text"),
+        "space_wasted", format_size(F.col("space_wasted")).alias("space_wasted_text"),
     )
 
 
@@ -89,25 +89,22 @@ def summary_report(
     def size_of(df: DataFrame | None) -> Column:
         return F.lit(0).cast("bigint") if df is None else df.agg(F.count(F.lit(1))).scalar()
 
-    figures = dedup.waste(sets)
     facts = (
         result_metrics(results)
-        .withColumn("sets", figures.select("sets").scalar())
-        .withColumn("extra", figures.select("total_duplicates").scalar())
-        .withColumn("bytes", figures.select("space_recoverable").scalar())
+        .withColumn("copies", dedup.waste_struct(sets))
         .withColumn("created", size_of(created))
         .withColumn("removed", size_of(removed))
     )
-    some = F.col("sets") > 0
+    some = F.col("copies.sets") > 0
     items: list[tuple[str, Column, Column | None]] = [
         ("Status", _status(dry_run), None),
         ("Root Directory", F.lit(root), None),
         ("Total Files Processed", F.col("files_moved"), None),
         ("Operations Failed", F.col("files_failed"), None),
         ("Success Rate", F.concat(one_decimal(F.col("success_rate")), F.lit("%")), None),
-        ("Duplicate Sets Found", F.col("sets"), some),
-        ("Duplicate Files", F.col("extra"), some),
-        ("Space Recoverable", format_size(F.col("bytes")), some),
+        ("Duplicate Sets Found", F.col("copies.sets"), some),
+        ("Duplicate Files", F.col("copies.total_duplicates"), some),
+        ("Space Recoverable", format_size(F.col("copies.space_recoverable")), some),
         ("Directories Created", F.col("created"), F.col("created") > 0),
         ("Empty Directories Removed", F.col("removed"), F.col("removed") > 0),
     ]
@@ -162,9 +159,8 @@ def operations_section(results: DataFrame) -> DataFrame:
 
 def summary_section(results: DataFrame, sets: DataFrame, root: str, dry_run: bool = False) -> DataFrame:
     """The head of the report as one JSON document."""
-    figures = dedup.waste(sets)
     total = F.col("files_moved") + F.col("files_failed")
-    return result_metrics(results).select(
+    return result_metrics(results).withColumn("copies", dedup.waste_struct(sets)).select(
         F.to_json(
             F.struct(
                 F.lit("1.0").alias("version"), F.lit(dry_run).alias("dry_run"),
@@ -174,9 +170,8 @@ def summary_section(results: DataFrame, sets: DataFrame, root: str, dry_run: boo
                     F.col("files_failed").alias("failed_operations"), "success_rate",
                 ).alias("summary"),
                 F.struct(
-                    figures.select("sets").scalar().alias("sets_found"),
-                    figures.select("total_duplicates").scalar().alias("total_duplicates"),
-                    figures.select("space_recoverable").scalar().alias("space_recoverable_bytes"),
+                    F.col("copies.sets").alias("sets_found"), F.col("copies.total_duplicates"),
+                    F.col("copies.space_recoverable").alias("space_recoverable_bytes"),
                 ).alias("duplicates"),
             )
         ).alias("document")

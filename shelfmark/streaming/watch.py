@@ -67,8 +67,10 @@ def relevant(events: DataFrame, cfg: JobConfig) -> DataFrame:
 def stable_sessions(events: DataFrame, gap: str, delay: str = "0 seconds") -> DataFrame:
     """Bursts of events per path that were followed by a quiet ``gap``: the file is complete.
 
-    Works on streams (a burst comes out once the watermark has passed it) and on tables.
+    Works on streams (a burst comes out once the watermark has passed it) and on tables. Events of
+    one path are merged to bursts before the shuffle, so a busy path does not fill one task.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         events.withWatermark("ts", delay)
         .groupBy("path", F.session_window("ts", gap).alias("burst"))
