@@ -123,21 +123,21 @@ def unresolved_links(links: DataFrame, existing: DataFrame) -> DataFrame:
     Chains are followed by doubling: after k rounds every link has taken up to 2^k steps, and the
     loop stops as soon as no link moved.
     """
+    def doubled(hops: DataFrame) -> DataFrame:
+        onward = hops.select(F.col("path").alias("at"), F.col("at").alias("_to"), F.col("steps").alias("_more"))
+        return hops.join(onward, "at", "left").select(
+            "path", F.coalesce("_to", "at").alias("at"),
+            (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
+            F.col("_to").isNotNull().alias("moved"),
+        )
+
     hops = staged(links.select("path", F.col("target").alias("at"), F.lit(1).alias("steps")), "links")
     reach = 1
     while reach < MAX_LINKS:
-        onward = hops.select(F.col("path").alias("at"), F.col("at").alias("_to"), F.col("steps").alias("_more"))
-        moved = staged(
-            hops.join(onward, "at", "left").select(
-                "path", F.coalesce("_to", "at").alias("at"),
-                (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
-                F.col("_to").isNotNull().alias("moved"),
-            ),
-            "links",
-        )
-        hops = moved.drop("moved")
-        reach *= 2
-        if moved.where("moved").isEmpty():
+        # Written after every third doubling only; until then the plan stays small.
+        hops = staged(doubled(doubled(doubled(hops))), "links")
+        reach *= 8
+        if hops.where("moved").isEmpty():
             break
     ends = existing.select(F.col("path").alias("at")).join(
         links.select(F.col("path").alias("at")), "at", "left_anti"

@@ -55,8 +55,9 @@ def _ops(
         rows.select(
             F.lit("file").alias("kind"), phase.cast("int").alias("phase"), F.col("path").alias("source"),
             target.alias("destination"), F.lit(reason).alias("reason"),
-            F.lit(cfg.conflict_resolution).alias("conflict_resolution"),
-            "size_bytes", "hash", "is_symlink", "category", "subcategory",
+            F.lit(cfg.conflict_resolution).alias("conflict_resolution"), "size_bytes", "hash", "is_symlink",
+            *[F.lit(None).cast("string").alias(c) if reason == REASON_DUPLICATE else F.col(c)
+              for c in ("category", "subcategory")],
         ).where(F.col("source") != F.col("destination"))
     )
 
@@ -101,10 +102,10 @@ def build_plan(
     afterwards neither contents nor tags travel through a shuffle.
     """
     scoped = scope.with_scope(inventory, root, cfg)
-    placed = classify(scope.files_in_scope(scoped), rules, cfg, custom)
-    wanted = ["path", "size_bytes", "hash", "modified_time", "is_symlink", "category", "subcategory"]
+    inside = scope.files_in_scope(scoped)
+    columns = ["path", "size_bytes", "hash", "modified_time", "is_symlink"]
     if cfg.perceptual_dedup:
-        wanted.append("sketch")
+        columns.append("sketch")
     readable = F.col("hash").isNotNull()
     if "error" in inventory.columns:
         errors = scoped.where(~readable).select("path", F.coalesce("error", F.lit("unreadable")).alias("message"))
@@ -112,11 +113,12 @@ def build_plan(
         errors = scoped.where((F.col("scope") == scope.FILE) & ~readable).select(
             "path", F.lit("unreadable").alias("message")
         )
-    files = placed.where(readable).select(*wanted)
+    files = inside.where(readable).select(*columns)
+    placed = classify(inside.where(readable), rules, cfg, custom).select(*columns, "category", "subcategory")
 
     sets = similar = None
     if cfg.detect_duplicates:
-        contents = dedup.by_content(files, ("size_bytes", "is_symlink", "category", "subcategory"))
+        contents = dedup.by_content(placed, ("size_bytes", "is_symlink", "category", "subcategory"))
         sets = dedup.duplicate_sets(contents)
         extra_ops = duplicate_ops(dedup.extras(files, sets), root, cfg)
         if cfg.perceptual_dedup:
@@ -134,10 +136,10 @@ def build_plan(
         phase = F.when(F.col("cnt") == 1, F.lit(PHASE_UNIQUE)).otherwise(F.lit(PHASE_PRIMARY))
         ops = extra_ops.unionByName(classify_ops(contents, phase, root, cfg))
     elif cfg.compat_skip_copies:
-        contents = dedup.by_content(files, ("size_bytes", "is_symlink", "category", "subcategory"))
+        contents = dedup.by_content(placed, ("size_bytes", "is_symlink", "category", "subcategory"))
         ops = classify_ops(dedup.unique_files(contents), PHASE_UNIQUE, root, cfg)
     else:
-        ops = classify_ops(files, PHASE_UNIQUE, root, cfg)
+        ops = classify_ops(placed, PHASE_UNIQUE, root, cfg)
 
     dir_ops = directory_ops(scope.directories_in_scope(scoped, root), root, cfg)
     return Plan(root, cfg, inventory, files, sets, ops, dir_ops, errors, similar)
@@ -232,19 +234,20 @@ def resolve_rename(ops: DataFrame, existing: DataFrame, hot_rows: int = HOT_ROWS
         _numbered(contested.where(~dotted), crowded.where(~dotted), names, hot_rows), "numbered"
     )
     names = names.union(plain.select("final_destination"))
-    odd = _numbered(contested.where(dotted), crowded.where(dotted), names, hot_rows)
+    odd = _numbered(contested.where(dotted), crowded.where(dotted), names, hot_rows, with_dotted=True)
     return alone.unionByName(plain).unionByName(odd)
 
 
-def _numbered(contested: DataFrame, crowded: DataFrame, names: DataFrame, hot_rows: int) -> DataFrame:
+def _numbered(
+    contested: DataFrame, crowded: DataFrame, names: DataFrame, hot_rows: int, with_dotted: bool = False
+) -> DataFrame:
     """Turns the rank ``_r`` among the operations that need a number into the number itself.
 
     With the taken numbers t_1 < t_2 < …, the r-th free number is r plus the count of those i
     with t_i - i < r: a running count over operations and taken numbers together.
     """
     taken = staged(
-        names.select(F.explode(_numbered_forms_of("path")).alias("form"))
-        .select("form.destination", "form.number")
+        _numbers_in_use(names, with_dotted)
         .join(crowded.select("destination"), "destination", "left_semi")
         .distinct(),
         "taken",
@@ -270,21 +273,23 @@ def _numbered(contested: DataFrame, crowded: DataFrame, names: DataFrame, hot_ro
     return outcome(counted, F.col("_r") + F.col("_before"))
 
 
-def _numbered_forms_of(path: str) -> Column:
-    """All (destination, number) whose numbered form is the given path: at most two."""
-    p = F.col(path)
-    suffix = paths.suffix(p)
-    body = paths.without_suffix(p)
-    usual = F.struct(
-        F.concat(F.regexp_extract(body, r"^(.*[^/])_[1-9][0-9]{0,17}$", 1), suffix).alias("destination"),
-        F.regexp_extract(body, r"_([1-9][0-9]{0,17})$", 1).try_cast("bigint").alias("number"),
-    )
-    dotted = F.struct(
-        F.regexp_extract(p, r"^(.*[^/]\.)_[1-9][0-9]{0,17}$", 1).alias("destination"),
-        F.regexp_extract(p, r"\._([1-9][0-9]{0,17})$", 1).try_cast("bigint").alias("number"),
+def _numbers_in_use(names: DataFrame, with_dotted: bool) -> DataFrame:
+    """All (destination, number) whose numbered form is one of the names."""
+    p = F.col("path")
+
+    def forms(destination: Column, number: str) -> DataFrame:
+        return names.where(p.rlike(number)).select(
+            destination.alias("destination"), F.regexp_extract(p, number, 1).cast("bigint").alias("number")
+        )
+
+    usual = forms(
+        F.regexp_replace(p, r"(?<=[^/])_[1-9][0-9]{0,17}((?<=[^/])\.[^./]+)?$", "$1"),
+        r"[^/]_([1-9][0-9]{0,17})(?:\.[^./]+)?$",
     )
-    return F.filter(
-        F.array(usual, dotted), lambda f: f["number"].isNotNull() & (F.length(f["destination"]) > 0)
+    if not with_dotted:
+        return usual
+    return usual.union(
+        forms(F.regexp_replace(p, r"_[1-9][0-9]{0,17}$", ""), r"[^/]\._([1-9][0-9]{0,17})$")
     )
 
 
