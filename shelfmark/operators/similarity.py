@@ -12,7 +12,7 @@ hold any share of the data.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ __all__ = ["SKETCH_EXTENSIONS", "leaders_of", "similar_members", "similar_sets"]
 BITS = 64
 CAP = 64
 MAX_SPLITS = 3
+SCATTER = 37
 
 
 def _signed(value: int) -> int:
@@ -39,16 +40,17 @@ def _mask(positions: list[int]) -> int:
     return _signed(sum(1 << p for p in positions))
 
 
-def _bands(positions: list[int], count: int) -> list[list[int]]:
-    """``positions`` in ``count`` runs of nearly equal length."""
-    edges = [len(positions) * i // count for i in range(count + 1)]
-    return [positions[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+def _bands(positions: list[int], number: int) -> list[list[int]]:
+    """``positions`` dealt out to ``number`` bands in a scattered order, so that every band gets
+    its share of the bits that differ when whole regions of the sketches are equal."""
+    scattered = sorted(positions, key=lambda p: p * SCATTER % BITS)
+    return [scattered[i::number] for i in range(number)]
 
 
 def _first_level(threshold: int) -> tuple[list[list[int]], int]:
     """Bands of the whole sketch and how many bits of a band may differ."""
-    count = threshold + 1 if threshold <= 5 else max(4, threshold // 3 + 1)
-    bands = _bands(list(range(BITS)), min(count, BITS))
+    number = threshold + 1 if threshold <= 5 else max(4, threshold // 3 + 1)
+    bands = _bands(list(range(BITS)), min(number, BITS))
     return bands, threshold // len(bands)
 
 
@@ -101,13 +103,14 @@ def _split(rows: DataFrame, pieces: dict[int, list[int]]) -> DataFrame:
     )
 
 
-def _buckets(nodes: DataFrame, threshold: int) -> DataFrame:
-    """Rows of all buckets in which somebody can meet somebody else."""
+def _buckets(nodes: DataFrame, threshold: int, splits: int) -> DataFrame:
+    """Rows of all buckets in which somebody can meet somebody else, after at most ``splits``
+    divisions of the crowded ones."""
     rows = staged(_bucket_rows(nodes, threshold), "buckets")
     masks = [_mask(band) for band in _first_level(threshold)[0]]
     done = None
-    for level in range(MAX_SPLITS + 1):
-        pieces = _pieces(masks, threshold + 1) if level < MAX_SPLITS else {}
+    for level in range(splits + 1):
+        pieces = _pieces(masks, threshold + 1) if level < splits else {}
         sizes = (
             rows.groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("home")).alias("n_home"))
@@ -134,11 +137,15 @@ def leaders_of(nodes: DataFrame, threshold: int) -> DataFrame:
     free sketch without an earlier free neighbour becomes a leader, so the earliest one always
     does and the loop ends.
     """
-    buckets = staged(_buckets(nodes, threshold), "meetings")
+    # Two rounds in undivided buckets find the leaders of dense clusters and settle their members;
+    # only the rest is worth dividing.
+    buckets = staged(_buckets(nodes, threshold, 0), "meetings")
+    sizes = buckets.where("home").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    divide_after = None if sizes.where(F.col("n") > CAP).isEmpty() else 2
     near = F.struct("rank", "sketch")
     live = buckets.withColumn("best", F.lit(None).cast(buckets.select(near.alias("s")).schema["s"].dataType))
     taken = None
-    while True:
+    for round_no in count(1):
         free = F.col("best").isNull()
         in_order = Window.partitionBy("bucket").orderBy("rank")
         lists = (
@@ -187,6 +194,14 @@ def leaders_of(nodes: DataFrame, threshold: int) -> DataFrame:
             .groupBy("sketch")
             .agg(F.min(F.least(F.col("best"), found)).alias("best"))
         )
+        if round_no == divide_after:
+            found_best = staged(found_best, "best")
+            buckets = staged(
+                _buckets(nodes.join(found_best.select("sketch"), "sketch"), threshold, MAX_SPLITS), "meetings"
+            )
+            # Whoever meets nobody any more keeps the leader found so far.
+            apart = found_best.where("best is not null").join(buckets.select("sketch"), "sketch", "left_anti")
+            taken = taken.unionByName(apart)
         live = staged(buckets.join(found_best, "sketch"), "live")
     return taken.select(
         "sketch", F.col("best.sketch").alias("leader_sketch"), F.col("best.rank").alias("leader_rank"),
