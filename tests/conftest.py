@@ -11,7 +11,7 @@ def spark():
     from shelfmark.session import build_session
 
     session = build_session("tests", "local[8]")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

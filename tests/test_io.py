@@ -112,6 +112,15 @@ def test_rules_roundtrip(spark, tmp_path):
     assert set(rules.load_rules(spark, f"{tmp_path}/rules").collect()) == set(table.collect())
 
 
+def test_config_roundtrip(spark, tmp_path):
+    cfg = JobConfig(strategy="hybrid", classification_rules={"Extra": {"Sub": [".x"]}}, ignore_patterns=("*.tmp",))
+    rules.save_config(spark, cfg, f"{tmp_path}/cfg")
+    assert rules.load_config(spark, f"{tmp_path}/cfg") == cfg
+    assert rules.load_config(spark, f"{tmp_path}/missing") == JobConfig()
+    (tmp_path / "broken.txt").write_text("strategy: [")
+    assert rules.load_config(spark, f"{tmp_path}/broken.txt") == JobConfig()
+
+
 def test_resume(spark, inventory):
     files = inventory(("/r/a", "x"), ("/r/b", "x"), ("/r/c", "y"))
     progress = spark.sql(
