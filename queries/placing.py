@@ -9,7 +9,6 @@ from queries.fixtures import DOC_ROOT, sql
 from queries.listing import _HEAD_MIME, scoped, tags
 from queries.registry import query
 from shelfmark.config import JobConfig
-from shelfmark.functions import paths
 from shelfmark.operators import classify as cl
 from shelfmark.operators import scope
 from shelfmark.session import new_folder
@@ -186,6 +185,3 @@ def directory_sizes(spark, sf):
 
     corpus = roll(fx.doc(spark, sf).select("path", "size_bytes"), DOC_ROOT)
     return corpus.unionByName(roll(fx.big(spark, sf).select("path", "size_bytes"), fx.BIG_ROOT))
-
-
-__all__ = ["doc_files", "custom_rule_table", "paths"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries import fixtures as fx
 from queries.fixtures import DOC_ROOT, sql
 from queries.planning import doc_plan, organizer, resolved_plan
 from queries.registry import query
@@ -250,6 +249,3 @@ def _lines(section: int, texts: str, source: str) -> str:
 def report_text(spark, sf):
     outcome = run(spark, sf)
     return report.text_report(outcome.file_results, outcome.plan.sets, DOC_ROOT, outcome.created)
-
-
-__all__ = ["fx"]
