@@ -17,6 +17,7 @@ by_value(__name__)
 BITS = 64
 BLOCK = 1 << 14  # codes of a bucket block; larger buckets are split
 CROWD = 1 << 16  # queries that meet a block at once
+FOUND = "query bigint, code bigint, first bigint, distance int"
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -41,34 +42,34 @@ def verifier(parts: list[tuple[int, int]], radius: int, k: int):
     def verify(key: tuple, index: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         shift, width = parts[int(key[0])]
         mask = np.uint64((1 << width) - 1)
-        own = np.sort(index["code"].to_numpy())
+        own, first = index["code"].to_numpy(), index["first"].to_numpy()
         pieces = (own.view(np.uint64) >> np.uint64(shift)) & mask
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for q in asking["query"].to_numpy():
             u = np.int64(q).view(np.uint64)
-            hit = own[np.bitwise_count(pieces ^ ((u >> np.uint64(shift)) & mask)) == radius]
+            hit = np.flatnonzero(np.bitwise_count(pieces ^ ((u >> np.uint64(shift)) & mask)) == radius)
             if len(hit):
-                far = np.bitwise_count(hit.view(np.uint64) ^ u)
-                near = np.argsort(far, kind="stable")[:k]
-                out.append((q, hit[near], far[near]))
-        return pd.DataFrame({
-            "query": np.repeat([q for q, _, _ in out], [len(c) for _, c, _ in out]).astype(np.int64),
-            "code": np.concatenate([c for _, c, _ in out]) if out else np.array([], np.int64),
-            "distance": (np.concatenate([d for _, _, d in out]) if out else np.array([])).astype(np.int32)})
+                far = np.bitwise_count(own[hit].view(np.uint64) ^ u)
+                near = np.lexsort((first[hit], far))[:k]
+                out.append((q, own[hit[near]], first[hit[near]], far[near]))
+        queries = np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int64)
+        columns = [np.concatenate([x[i] for x in out]) if out else np.array([]) for i in (1, 2, 3)]
+        return pd.DataFrame({"query": queries, "code": columns[0].astype(np.int64),
+                             "first": columns[1].astype(np.int64), "distance": columns[2].astype(np.int32)})
 
     return verify
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int = BITS) -> DataFrame:
-    """(query, code, distance): for each of ``queries`` (query, distinct) the ``k`` nearest of ``codes`` (code,
-    distinct), ties by code.
+    """(query, code, first, distance): for each of ``queries`` (query, distinct) the ``k`` nearest of ``codes``
+    (code, distinct, and first), ties by first.
 
     Every code lies in one bucket per segment; buckets are named by the segment's leading bits. Round r sends each
     open query to the buckets whose leading bits are within r of its own, where codes whose segment is exactly r away
     are verified. After round r every code within m (r + 1) - 1 is found, so a query closes when its k-th distance
     is no more than that. A bucket is cut into blocks of bounded size, and many queries into crowds.
     """
-    codes, queries = staged(codes.select("code"), "mih-codes"), staged(queries.select("query"), "mih-queries")
+    codes, queries = staged(codes.select("code", "first"), "mih-codes"), staged(queries.select("query"), "mih-queries")
     count, asked = codes.count(), queries.count()
     parts = segments(count, bits)
     lead = max(1, min(min(w for _, w in parts) - 1, math.ceil(math.log2(max(2, count / BLOCK)))))
@@ -78,11 +79,12 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int = BITS) -> Dat
         return F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned(F.col(column), s + w - lead).bitwiseAND(
             F.lit((1 << lead) - 1)).cast("int").alias("lead")) for i, (s, w) in enumerate(parts)])
 
-    placed = codes.select("code", F.explode(segment("code")).alias("p")).select("code", "p.*")
+    placed = codes.select("code", "first", F.explode(segment("code")).alias("p")).select("code", "first", "p.*")
     blocks = staged(placed.groupBy("seg", "lead").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "mih-blocks")
     rows = placed.join(blocks, ["seg", "lead"]).select(
-        "seg", "lead", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int").alias("block"), "code")
+        "seg", "lead", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int").alias("block"), "code",
+        "first")
     rows = staged(rows.withColumn("crowd", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1)))), "mih-index")
     best, open_ = None, queries
 
@@ -99,7 +101,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int = BITS) -> Dat
 
         keys = ["seg", "lead", "block", "crowd"]
         found = rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(
-            verifier(parts, r, k), "query bigint, code bigint, distance int")
+            verifier(parts, r, k), FOUND)
         if best is not None:
             found = found.unionByName(best)
         best = staged(nearest(found.distinct(), k), "mih-best")
@@ -116,9 +118,9 @@ def nearest(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest per query: what a query has at any time is a few blocks' k nearest."""
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(["distance", "code"], kind="stable")[:k]
+        return rows.sort_values(["distance", "first"])[:k]
 
-    return found.groupBy("query").applyInPandas(cut, "query bigint, code bigint, distance int")
+    return found.groupBy("query").applyInPandas(cut, FOUND)
 
 
 def search(rows: DataFrame, k: int = 10, every: int = 20) -> DataFrame:
@@ -137,7 +139,7 @@ def search(rows: DataFrame, k: int = 10, every: int = 20) -> DataFrame:
     many = few_smallest(coded.join(shared, "code", "left_semi"), k + 1)
     index = staged(alone.unionByName(many), "index")
     asking = coded.where(F.col("vec_id") % every == 0)
-    found = top_k(index, asking.select(F.col("code").alias("query")).distinct(), k + 1)
+    found = top_k(index.withColumn("first", F.col("ids")[0]), asking.select(F.col("code").alias("query")).distinct(), k + 1)
     lists = found.join(index, "code").select("query", F.struct("distance", "ids").alias("near")) \
         .groupBy("query").agg(F.collect_list("near").alias("near"))  # k + 1 codes of k + 1 ids at most
     ordered = F.array_sort(F.flatten(F.transform("near", lambda n: F.transform(
