@@ -115,7 +115,7 @@ def extract(docs: DataFrame) -> DataFrame:
             for text in values(batch.column(1)):
                 text = text or ""
                 spans = fixed(text)
-                hashes.append(hashlib.blake2b(text.encode(), digest_size=16).hexdigest())
+                hashes.append(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest())
                 counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
                 bases.append(join(spans))
                 rows = []
@@ -197,13 +197,9 @@ def redact(docs: DataFrame) -> DataFrame:
     names = {c.lower(): c for c in docs.columns}
     text, own = names["text"], names["doc_id"]
     hash_name, more = unused_name(docs, "_hash"), unused_name(docs, "_more")
-    marked = docs.withColumn(hash_name, F.lit(""))
-    at, last = marked.columns.index(text), len(marked.columns) - 1
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [hashlib.blake2b((t or "").encode(), digest_size=16).hexdigest() for t in values(batch.column(at))]
-            yield batch.set_column(last, hash_name, pa.array(found, pa.string()))
+    # The hash is Spark's own: a second Python worker in each task would hold its memory beside the first.
+    keyed = docs.withColumn(hash_name, F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")))
+    at, last = keyed.columns.index(text), len(keyed.columns) - 1
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +217,6 @@ def redact(docs: DataFrame) -> DataFrame:
                 out.append("".join(parts) + value[upto:])
             yield batch.set_column(at, text, pa.array(out, pa.string()))
 
-    keyed = marked.mapInArrow(hashed, marked.schema)
     new = new.select(F.col("doc_id").alias("_p_id"), F.col("hash").alias("_p_hash"), F.col("more").alias(more))
     joined = keyed.join(new, keyed[own].cast("bigint").eqNullSafe(new["_p_id"]) & (keyed[hash_name] == new["_p_hash"]),
                         "left").drop("_p_id", "_p_hash")
