@@ -5,8 +5,12 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, hamming, licenses, mixing, personal, quality, reputation, secrets, simhash, suffixes
+from shelfmark.llm import (
+    bpe, decontam, divergence, hamming, licenses, mixing, negatives, personal, quality, reputation, secrets, simhash, sql,
+    suffixes,
+)
 from shelfmark.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -50,13 +54,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return personal.scan(table(spark, sf_dir, "documents")).withColumn("base", F.sha2("base", 256)).withColumnRenamed(
         "base", "base_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_license_scan, op3_mix_sources, op4_simhash, op5_secret_scan, op6_topk_search, op7_byte_bpe,
-    op8_url_filter, op9_quality_rules, op10_personal_data)} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {}
+    op8_url_filter, op9_quality_rules, op10_personal_data, op11_hard_negatives, op12_decontamination,
+    op13_source_divergence)} | {"pipeline": corpus_pipeline.run}
+ORACLE = {
+    "op11_hard_negatives": sql.HARD_NEGATIVES,
+    "op12_decontamination": sql.DECONTAMINATION,
+    "op13_source_divergence": sql.DIVERGENCE,
+}

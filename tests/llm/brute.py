@@ -1,6 +1,7 @@
 """The operators' contracts, word for word and slowly."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -109,3 +110,73 @@ def targets(sizes, weights=(3, 1, 2)):
         for s in over:
             full[s] = 2.0 * sizes[s]
             left -= full[s]
+
+
+def hard_negatives(rows):
+    """rows: (id, vector, label), ids distinct."""
+    kept = [(i, v, l) for i, v, l in rows if i is not None and l is not None and v is not None
+            and all(x is not None and math.isfinite(x) for x in v)]
+    whole = [(i, [math.floor(256 * x) for x in v], l) for i, v, l in kept]
+    out = []
+    for a, v, l in whole:
+        if a % 100 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(v, w)), b, m) for b, w, m in whole if b != a)
+            for p, b, _ in [x for x in scored if x[2] == l][:5]:
+                fit = [x for x in scored if x[2] != l and 30 * -p <= 100 * -x[0] <= 90 * -p][:10]
+                out += [(a, b, n, c, -p, -s) for n, (s, c, _) in enumerate(fit, 1)]
+    return out
+
+
+def item_words(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def contaminated(docs, items, length=10):
+    windows = defaultdict(set)
+    for item, text in items:
+        w = item_words(text)
+        for i in range(max(1, len(w) - length + 1) if w else 0):
+            windows[tuple(w[i:i + length])].add(item)
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc_id, text in docs:
+        w, hit, found = item_words(text), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i:i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    found |= windows[tuple(w[i:i + n])]
+        names = sorted(str(i) for i in found if i is not None)
+        out.append((doc_id, len(w), len(hit), len(names), sha(",".join(names).encode()), bool(hit)))
+    return out
+
+
+def divergence(docs, top=200):
+    """docs: (text, lang, source)."""
+    docs = [(t or "", l or "", s or "") for t, l, s in docs]
+    frequency, group, groups = defaultdict(Counter), defaultdict(Counter), set()
+    for text, lang, source in docs:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        terms = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered))
+        frequency[lang].update(terms.keys())
+        group[lang, source].update(terms)
+        groups.add((lang, source))
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [t for t, n in frequency[lang].items() if n >= 3]
+        sources = [s for g, s in groups if g == lang]
+
+        def shares(counter):
+            total = sum(counter[t] for t in kept)
+            return {t: 1 + 1000000000 * (counter[t] + 1) // (total + len(kept)) for t in kept}
+
+        p = {s: shares(group[lang, s]) for s in sources}
+        q = shares(sum((group[lang, s] for s in sources), Counter()))
+        for s in sources:
+            near = [(-sum((p[s][t] - p[o][t]) ** 2 // p[o][t] for t in kept), o.encode(), o) for o in sources if o != s]
+            out += [(lang, s, "pair", o, -v, n) for n, (v, _, o) in enumerate(sorted(near), 1)]
+            telling = [(-((p[s][t] - q[t]) ** 2 // q[t]), t.encode(), t) for t in kept
+                       if group[lang, s][t] and p[s][t] > q[t]]
+            out += [(lang, s, "term", t, -v, n) for n, (v, _, t) in enumerate(sorted(telling)[:top], 1)]
+    return out
