@@ -3,30 +3,30 @@
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import by_value, shared_folder, staged
+from shelfmark.llm.common import by_value, staged
 
 by_value(__name__)
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")  # of lower-cased UTF-8
-BREAK = "\0"  # between a language and a term; no term has it
 MIN_DF = 3
-VOCABULARY = 1 << 22  # distinct terms that one model is fitted on
+VOCABULARY = 2**31 - 1  # the largest vocabulary there can be: nothing is cut
 UNIT = 1_000_000_000
+HELD = 400_000  # entries of sums that a task holds before it sends them on
+LONG = 1 << 20  # bytes of a text whose terms are not listed at once
+ROWS = 50_000
 CHUNK = 1 << 18  # (term, source) entries whose pairs are evaluated together
 CELLS = 1 << 20
 TOP = 200
-VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"  # as Spark stores a vector
+SUMS = "lang string, source string, term string, count bigint, documents bigint"
 PARTIAL = "lang string, source string, other string, value bigint, shared bigint"
 
 
@@ -34,96 +34,65 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
 
 
-def tokens(docs: DataFrame, shards: int = 1) -> DataFrame:
-    """(lang, source, shard, terms): the terms of a document in order, each behind its language.
+def count_vector(text: bytes) -> Counter:
+    """The sparse count vector of a document: how often it has each of its terms."""
+    text = text.lower()  # of bytes: A-Z only
+    if len(text) <= LONG:
+        return Counter(TERM.findall(text))
+    return Counter(m[0] for m in TERM.finditer(text))
 
-    A language has its own vocabulary because it is part of the token: one model then holds the vocabularies of all
-    languages side by side. With several shards a document gives a row for each shard that has a term of its.
-    """
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def summed(held: int = HELD):
+    """A task's documents as SUMS: the sum of the vectors of each group, and of how many documents they are."""
+
+    def rows(sums: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, documents) in sums.items():
+            terms = list(counts)
+            for at in range(0, len(terms), ROWS):
+                some = terms[at:at + ROWS]
+                yield pa.record_batch(
+                    [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()),
+                     pa.array(some, pa.binary()).cast(pa.string()),
+                     pa.array([counts[t] for t in some], pa.int64()), pa.array([documents[t] for t in some], pa.int64())],
+                    [c.split()[0] for c in SUMS.split(", ")])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        entries = 0
         for batch in batches:
-            rows: list[tuple] = []
             texts = batch["text"].cast(pa.large_binary())
             for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), texts):
-                front = (lang + BREAK).encode()
-                found = [front + t for t in TERM.findall(text.as_py().lower())]  # bytes.lower() changes A-Z only
-                if shards == 1:
-                    rows.append((lang, source, 0, found))
-                    continue
-                dealt: dict[int, list] = {}
-                for t in found:
-                    dealt.setdefault(zlib.crc32(t) % shards, []).append(t)
-                rows += [(lang, source, k, some) for k, some in dealt.items()]
-            sizes = np.cumsum([0, *(len(r[3]) for r in rows)])
-            flat = pa.array([t for r in rows for t in r[3]], pa.binary()).cast(pa.string())
-            yield pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-                 pa.array([r[2] for r in rows], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)],
-                ["lang", "source", "shard", "terms"])
-
-    return docs.mapInArrow(split, "lang string, source string, shard int, terms array<string>")
-
-
-def vectors(tokenised: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame] | None:
-    """The kept terms (lang, term, index) and the documents' sparse count vectors (lang, source, vector).
-
-    None where no term is frequent enough: a vectorizer refuses an empty vocabulary.
-    """
-    spark = tokenised.sparkSession
-    try:
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=min_df, vocabSize=2**31 - 1).fit(tokenised)
-    except IllegalArgumentException as error:
-        if "vocabulary size" not in str(error):
-            raise
-        return None
-    folder = shared_folder(spark, "vectors")
-    model.transform(tokenised).select("lang", "source", "vector").write.parquet(folder)
-    words = pa.array(model.vocabulary, pa.string())
-    listed = spark.createDataFrame(pa.table({"word": words, "index": pa.array(np.arange(len(words)), pa.int32())}))
-    term = F.substring_index("word", BREAK, -1)
-    vocabulary = listed.select(F.substr("word", F.lit(1), F.length("word") - F.length(term) - 1).alias("lang"),
-                               term.alias("term"), "index")
-    return staged(vocabulary, "vocabulary"), spark.read.schema(
-        f"lang string, source string, vector {VECTOR}").parquet(folder)
-
-
-def group_sums(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(lang, source, term, count): the sums of the groups' vectors, only what is not zero.
-
-    Every task first adds up its own documents; a large group's entries are dealt by term.
-    """
-    at = F.explode(F.arrays_zip(F.col("vector.indices").alias("index"), F.col("vector.values").alias("value")))
-    sums = documents.select("lang", "source", at.alias("e")).groupBy("lang", "source", "e.index").agg(
-        F.sum(F.col("e.value").cast("bigint")).alias("count"))
-    return sums.join(vocabulary.select("index", "term"), "index").select("lang", "source", "term", "count")
+                vector = count_vector(text.as_py())
+                counts, documents = sums.setdefault((lang, source), (Counter(), Counter()))
+                entries -= len(counts)
+                counts.update(vector)
+                documents.update(vector.keys())
+                entries += len(counts)
+                if entries > held:
+                    yield from rows(sums)
+                    sums, entries = {}, 0
+        yield from rows(sums)
+
+    return add
 
 
-def counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY) -> DataFrame:
+def counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY, held: int = HELD) -> DataFrame:
     """(lang, source, term, count) of the terms in at least ``min_df`` documents of their language.
 
-    A model's vocabulary goes through the driver and to all executors. So its size is measured first, and beyond
-    ``vocabulary`` distinct terms they are dealt by hash to as many models, fitted one after another on their share of
-    the tokens; every term is in exactly one, and its counts are the same.
+    What a count vectorizer per language with that least document frequency keeps, of which the ``vocabulary`` terms with
+    the largest counts, ties by term. The vocabulary stays a table: it grows with the corpus, so it does not pass the
+    driver and is not sent to all executors. Every task adds up its own documents; its sums are dealt by term.
     """
-    texts = texts_of(docs)
-    spark = docs.sparkSession
-    tokenised = staged(tokens(texts), "tokens")
-    distinct = tokenised.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    shards = max(1, -(-distinct // vocabulary))
-    if shards > 1:
-        folder = shared_folder(spark, "token-shards")
-        schema = tokenised.schema
-        tokens(texts, shards).write.partitionBy("shard").parquet(folder)
-        tokenised = spark.read.schema(schema).parquet(folder)
-    found = [group_sums(parts[1], parts[0]) for k in range(shards)
-             if (parts := vectors(tokenised.where(F.col("shard") == k) if shards > 1 else tokenised, min_df))]
-    if not found:
-        return tokenised.where("false").select("lang", "source", F.lit("").alias("term"), F.lit(0).cast("bigint").alias("count"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return staged(out, "counts")
+    partial = texts_of(docs).mapInArrow(summed(held), SUMS)
+    groups = partial.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
+    everywhere = Window.partitionBy("lang", "term")
+    kept = groups.withColumn("documents", F.sum("documents").over(everywhere)).where(F.col("documents") >= min_df).drop("documents")
+    if vocabulary < VOCABULARY:
+        whole = kept.groupBy("lang", "term").agg(F.sum("count").alias("n"))
+        place = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("term").asc())
+        first = whole.withColumn("place", F.row_number().over(place)).where(F.col("place") <= vocabulary)
+        kept = kept.join(first.select("lang", "term"), ["lang", "term"], "left_semi")
+    return staged(kept.select("lang", "source", "term", "count"), "counts")
 
 
 def share(count: Column, total: Column, kinds: Column) -> Column:
@@ -232,8 +201,8 @@ def telling_terms(found: DataFrame, langs: DataFrame, groups: DataFrame) -> Data
         "lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
 
 
-def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, vocabulary: int = VOCABULARY,
-          chunk: int = CHUNK) -> DataFrame:
+def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, vocabulary: int = VOCABULARY, chunk: int = CHUNK,
+          held: int = HELD) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source of a language is from every other (``pair``), and the
     ``top`` terms by which it differs from its language (``term``).
 
@@ -242,7 +211,7 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, vocabulary: int
     kept terms has pairs of value 0; a language's only source has no pairs. Ties are ranked by the item's UTF-8 bytes.
     An empty table gives no rows. All arithmetic is on whole numbers, without rounding but the stated floors.
     """
-    found = counts(docs, min_df, vocabulary)
+    found = counts(docs, min_df, vocabulary, held)
     langs, groups = groups_of(docs, found)
     place = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())
     near = pairs(found, groups, chunk).withColumn("rank", F.row_number().over(place))

@@ -40,13 +40,20 @@ def made(spark, seed=1, n=120):
                                  "doc_id bigint, text string, lang string, source string, p int, value int, term string, terms string")
 
 
-@pytest.mark.parametrize("sizes", [{}, {"vocabulary": 7, "chunk": 10}])
+@pytest.mark.parametrize("sizes", [{}, {"held": 7, "chunk": 10}])
 def test_against_brute_force(spark, sizes):
-    """One model and one chunk, and many."""
+    """Sums sent on once and many times; one chunk, and many."""
     df = made(spark)
     assert audited(df, **sizes) == wanted(df)
 
 
+def test_vocabulary_size(spark):
+    """Of a language's terms the most frequent are kept, ties by term."""
+    df = spark.createDataFrame([("a a a b b c c d", "en", "x")] * 3 + [("c q", "fr", "x")] * 3, "text string, lang string, source string")
+    got = divergence.counts(df, vocabulary=2).select("lang", "term", "count").collect()
+    assert sorted(map(tuple, got)) == [("en", "a", 9), ("en", "b", 6), ("fr", "c", 3), ("fr", "q", 3)]
+
+
 def test_top(spark):
     df = made(spark, 2)
     assert audited(df, top=3) == wanted(df, top=3)
