@@ -10,7 +10,7 @@ from queries.placing import doc_files
 from queries.registry import query
 from shelfmark.operators import dedup, resume, similarity
 from shelfmark.session import literal_table
-from shelfmark.sources.inventory import content_hash
+from shelfmark.sources.hashing import content_group, content_hash
 
 THRESHOLD = 5
 
@@ -27,7 +27,7 @@ _BIG_SETS = "select hash, count(*) as cnt, min(size_bytes) as size_bytes from bi
     """select cnt, count(*) as sets from (select hash, count(*) as cnt from files group by hash having count(*) > 1)
        group by cnt""", "files"))
 def dups_by_xxhash(spark, sf):
-    files = doc_files(spark, sf).withColumn("hash", content_hash(F.encode("text", "UTF-8"), "xxhash"))
+    files = doc_files(spark, sf).withColumn("hash", content_group(F.encode("text", "UTF-8")).cast("string"))
     return dedup.duplicate_sets(dedup.by_content(files)).groupBy("cnt").agg(F.count(F.lit(1)).alias("sets"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.sketch import average_sketch
@@ -106,6 +106,36 @@ def event_folder(spark: SparkSession, sf: str, sentinel: bool = False) -> str:
     return folder
 
 
+_ARRIVAL_PATH = """
+'/inbox/' || case user_id % 7 when 0 then 'all_Docs/' when 1 then '.cache/' when 2 then 'node_modules/' else '' end
+|| case when user_id % 11 = 5 then '.' else '' end || 'u' || user_id || {exts}
+"""
+_ARRIVAL_EXTS = "'.pdf','.jpg','','.tar.gz','.PY','.xyz','.mp3'"
+
+
+def arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of `events` on files of many kinds, in managed, hidden and ignored folders too."""
+    return table(spark, sf, "events").selectExpr(
+        "event_id", _ARRIVAL_PATH.format(exts=f"array({_ARRIVAL_EXTS})[cast((user_id div 7) % 7 as int)]") + " as path",
+        "case when event_type = 'signup' then 'created' else 'modified' end as event_type",
+        "cast(ts as timestamp) as ts", "cast(value * 100 as bigint) as size_bytes",
+    )
+
+
+def in_batches(rows: DataFrame, batches: int = 10) -> str:
+    """``rows`` in order of time as so many files, and a last event far in the future: what a stream reads one by one."""
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "batches")
+    rows = rows.withColumn("_batch", F.ntile(batches).over(Window.orderBy("ts", "event_id")))
+    staged = new_folder(spark, "timed")
+    rows.write.partitionBy("_batch").parquet(staged)
+    for n in range(1, batches + 1):
+        spark.read.schema(rows.schema).parquet(staged).where(F.col("_batch") == n).drop("_batch").coalesce(1).write.mode(
+            "append").parquet(folder)
+    spark.sql("select -1L as event_id, '/inbox/_end' as path, 'created' as event_type, "
+              "timestamp '2999-01-01 00:00:00' as ts, 0L as size_bytes").write.mode("append").parquet(folder)
+    return folder
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     bare = F.regexp_replace("url", "[?#].*$", "")
     ext = F.regexp_extract(bare, r"^[a-z]+://[^/]+/(?:.*/)?[^/]+(\.[A-Za-z0-9]+)$", 1)
@@ -163,6 +193,53 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_TREE_PATH = """
+'d' || (doc_id % 5) || case doc_id % 4 when 0 then '/' when 1 then '/_x/' when 2 then '/.h/' else '/with blank/é/' end
+|| case doc_id % 3 when 0 then '_' when 1 then '.' else 'a b ' end || doc_id || '.txt'
+"""
+
+
+def written_files(
+    spark: SparkSession, sf: str, changed: str = "text", path: str = _TREE_PATH
+) -> tuple[str, DataFrame]:
+    """The documents as files, written by the tasks below a new folder: the folder and (doc_id, path).
+
+    Some names begin with a dot or an underscore or hold blanks; every 97th document also has a link. ``changed``
+    is the SQL of what is written, a null writes nothing.
+    """
+    root = re.sub("^file:/+", "/", new_folder(spark, "tree"))
+
+    def write(batches):
+        import os
+        import uuid
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for rel, text, link in zip(*(batch[c].to_pylist() for c in ("rel", "text", "link"))):
+                if text is None:
+                    continue
+                path = f"{root}/{rel}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.{uuid.uuid4().hex}.part", "wb") as out:
+                    out.write(text.encode())
+                os.replace(out.name, path)  # a task that runs twice writes the same
+                if link:
+                    os.makedirs(f"{root}/links", exist_ok=True)
+                    part = f"{root}/links/{uuid.uuid4().hex}.part"
+                    os.symlink(path, part)
+                    os.replace(part, f"{root}/links/{link}")
+            yield pa.record_batch([batch["doc_id"], pa.array([f"{root}/{r}" for r in batch["rel"].to_pylist()])],
+                                  ["doc_id", "path"])
+
+    rows = table(spark, sf, "documents").selectExpr(
+        "doc_id", f"{path} as rel", f"{changed} as text", "case when doc_id % 97 = 0 then 'l' || doc_id end as link")
+    written = rows.mapInArrow(write, "doc_id bigint, path string")
+    folder = new_folder(spark, "written")
+    written.write.parquet(folder)
+    return root, spark.read.schema("doc_id bigint, path string").parquet(folder)
+
+
 # --- SQL --------------------------------------------------------------------------------------
 
 _RULE_ROWS = ",\n".join(
@@ -173,6 +250,8 @@ _RULE_ROWS = ",\n".join(
 )
 
 SQL = {
+    "written": f"""
+select doc_id, {_TREE_PATH} as rel, text, octet_length(encode(text)) as size_bytes from documents""",
     "doc": f"""
 select doc_id,
  {_DOC_PATH.format(g="(doc_id // 6)", d="(doc_id % 6)")} || ([{_DOC_EXTS}])[1 + ((doc_id // 6) % 12)] as path,
@@ -223,6 +302,21 @@ select event_id, '/inbox/u' || user_id as path,
  case when event_type = 'signup' then 'created' else 'modified' end as event_type,
  ts, cast(trunc(value * 100) as bigint) as size_bytes
 from events""",
+    "arrival": f"""
+select event_id, {_ARRIVAL_PATH.format(exts=f"([{_ARRIVAL_EXTS}])[1 + ((user_id // 7) % 7)]")} as path,
+ case when event_type = 'signup' then 'created' else 'modified' end as event_type,
+ ts, cast(trunc(value * 100) as bigint) as size_bytes
+from events""",
+    "arrived": """
+select * from arrival where not starts_with(path, '/inbox/all_')
+ and not regexp_matches(path, '/\\.[^/]*$') and not regexp_matches(path, '/node_modules/[^/]+$')""",
+    "bursts": """
+select path, min(ts) as first_ts, max(ts) as ts, count(*) as n_events, arg_max(size_bytes, row(ts, event_id)) as size_bytes,
+ bool_or(event_type = 'created') as created
+from (select *, sum(start) over (partition by path order by ts, event_id) as burst
+      from (select *, case when ts <= lag(ts) over (partition by path order by ts, event_id) + interval 1 hour
+                           then 0 else 1 end as start from arrived))
+group by path, burst""",
     "rules": f"select * from (values {_RULE_ROWS}) as r(ord, ext, category, subcategory)",
     "lookup": """
 select ext, arg_min(category, ord) as category, arg_min(subcategory, ord) as subcategory

@@ -13,7 +13,8 @@ from shelfmark.functions.metadata import KEY_STRATEGIES, exif_date, normalised_t
 from shelfmark.operators import scope
 from shelfmark.session import new_folder
 from shelfmark.sources import mime as mime_source
-from shelfmark.sources.inventory import content_hash, read_inventory
+from shelfmark.sources.hashing import content_hash
+from shelfmark.sources.inventory import read_inventory
 
 CFG = JobConfig()
 

@@ -17,6 +17,7 @@ REASON_FOLDER = "organize_folder"
 class JobConfig:
     """Parameters of one run; unknown keys of a mapping are ignored, unknown values refused."""
 
+    # The defaults below.
     # Category -> subcategory -> extensions; a category given here replaces the default one.
     classification_rules: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     strategy: str = "by-extension"
@@ -42,13 +43,16 @@ class JobConfig:
     duplicates_folder: str = "Duplicates"
     folders_folder: str = "Folders"
     use_metadata: bool = False
-    metadata_strategy: str = "auto"
     perceptual_dedup: bool = False
     perceptual_threshold: int = 5
     use_magic: bool = False
     watch_interval: float = 1.0
-    watch_recursive: bool = True
     watch_auto_organize: bool = True
+    # Seconds without an event after which a file is complete, and by which an event may be late.
+    watch_settle: float = 2.0
+    watch_delay: float = 0.0
+    # Days after which a path that had no event is forgotten; none means never.
+    watch_memory_days: int | None = None
     # Upper bounds in MB of the classes below Over1GB.
     size_bounds_mb: tuple[float, float, float, float] = (1, 10, 100, 1000)
     space_factor: float = 0.1

@@ -41,8 +41,12 @@ def by_extension(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def by_content(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Detected MIME type first, the extension where nothing is detected."""
-    detected = with_mime_category(files.withColumn("_mime", sniffed_mime(F.col("content"))), "_mime")
+    """Detected MIME type first, the extension where nothing is detected.
+
+    The type is the ``mime`` that a scan found in the head of each file, or is told from ``content``.
+    """
+    found = F.col("mime") if "mime" in files.columns else sniffed_mime(F.col("content"))
+    detected = with_mime_category(files.withColumn("_mime", found), "_mime")
     detected = detected.withColumnsRenamed({"category": "_cat", "subcategory": "_sub"})
     return (
         by_extension(detected, rules)

@@ -18,12 +18,20 @@ def preferred(*more: str) -> Column:
     )
 
 
+def content_key(files: DataFrame) -> Column:
+    """What tells contents apart: the ``content_key`` of a scan, which files that were never read have too, or the hash."""
+    return F.coalesce("content_key", "hash") if "content_key" in files.columns else F.col("hash")
+
+
 def by_content(files: DataFrame, carry: tuple[str, ...] = ("size_bytes", "is_symlink")) -> DataFrame:
-    """One row per hash: ``hash, cnt`` and the preferred file with its ``carry`` columns."""
+    """One row per content: ``hash, cnt`` and the preferred file with its ``carry`` columns.
+
+    The hash is null for a file of unique size that a scan did not read.
+    """
     kept = ("path", "modified_time", *carry)
     return (
-        files.groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("cnt"), preferred(*carry).alias("_first"))
+        files.groupBy(content_key(files).alias("_key"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min("hash").alias("hash"), preferred(*carry).alias("_first"))
         .select("hash", "cnt", *[f"_first.{c}" for c in kept])
     )
 
@@ -71,14 +79,24 @@ def totals(files: DataFrame) -> DataFrame:
     )
 
 
-def verify_integrity(planned: DataFrame, actual: DataFrame) -> DataFrame:
-    """Compares planned ``path, hash`` with a fresh scan: ok, mismatch, missing or unplanned."""
-    a = actual.select("path", F.col("hash").alias("actual_hash"))
-    p = planned.select("path", F.col("hash").alias("planned_hash"))
-    status = (
-        F.when(F.col("planned_hash").isNull(), F.lit("unplanned"))
-        .when(F.col("actual_hash").isNull(), F.lit("missing"))
-        .when(F.col("planned_hash") == F.col("actual_hash"), F.lit("ok"))
+def _status(planned: Column, actual: Column) -> Column:
+    return (
+        F.when(actual.isNull(), F.lit("missing"))
+        .when(planned == actual, F.lit("ok"))
         .otherwise(F.lit("mismatch"))
     )
-    return p.join(a, "path", "full").select("path", "planned_hash", "actual_hash", status.alias("status"))
+
+
+def verify_planned(planned: DataFrame, actual: DataFrame) -> DataFrame:
+    """Every planned ``path, hash`` against a fresh reading: ok, mismatch or missing."""
+    found = actual.select("path", F.col("hash").alias("actual_hash"))
+    return planned.select("path", F.col("hash").alias("planned_hash")).join(found, "path", "left").select(
+        "path", "planned_hash", "actual_hash", _status(F.col("planned_hash"), F.col("actual_hash")).alias("status"))
+
+
+def verify_integrity(planned: DataFrame, actual: DataFrame) -> DataFrame:
+    """As `verify_planned`, and what was read but not planned as unplanned."""
+    more = actual.join(planned.select("path"), "path", "left_anti").select(
+        "path", F.lit(None).cast("string").alias("planned_hash"), F.col("hash").alias("actual_hash"),
+        F.lit("unplanned").alias("status"))
+    return verify_planned(planned, actual).unionByName(more)

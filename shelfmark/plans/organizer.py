@@ -14,9 +14,10 @@ from shelfmark.operators.classify import Classifier
 from shelfmark.plans import planner
 from shelfmark.plans.planner import Plan
 from shelfmark.session import staged
-from shelfmark.sources import inventory as inventory_source
-from shelfmark.sources import oplog
+from shelfmark.sources import hashing, oplog
+from shelfmark.sources.mime import sniffed_mime
 from shelfmark.sources.rules import default_rules, override_categories, rules_from_mapping
+from shelfmark.sources.scan import list_files
 
 
 @dataclass(frozen=True)
@@ -106,18 +107,20 @@ class Organizer:
         self.rules = rules
 
     def scan(self, root: str) -> DataFrame:
-        """Lists, filters and hashes the files below ``root``; written once, since hashing reads
-        the contents. Files outside the scope are listed but never read."""
-        listed = scope.with_scope(inventory_source.list_files(self.spark, root), root, self.cfg)
-        inside = listed.where(F.col("scope") == scope.FILE).drop("scope", "top")
-        hashed = inventory_source.hash_files(inside, self.cfg.hash_algorithm, self.cfg.hash_block_size)
-        rest = listed.where(F.col("scope") != scope.FILE).drop("scope", "top")
-        return staged(
-            hashed.unionByName(
-                rest.withColumn("hash", F.lit("not read")).withColumn("error", F.lit(None).cast("string"))
-            ),
-            "inventory",
-        )
+        """Lists, filters and hashes the files below ``root``; written once, since hashing reads the contents.
+
+        Files outside the scope are listed but never read. Of the others those are read that may have a copy, or all
+        with ``verify_integrity``; with ``use_magic`` also the head of each, of which only the type is kept (``mime``).
+        """
+        cfg = self.cfg
+        listed = staged(scope.with_scope(list_files(self.spark, root), root, cfg), "listed")
+        inside = listed.where((F.col("scope") == scope.FILE) & F.col("error").isNull()).drop("scope", "top")
+        hashed = hashing.hash_files(
+            inside, cfg.hash_algorithm, cfg.hash_block_size, all_files=cfg.verify_integrity)
+        if cfg.use_magic:
+            hashed = hashing.with_heads(hashed).withColumn("mime", sniffed_mime(F.col("head"))).drop("head")
+        rest = listed.where((F.col("scope") != scope.FILE) | F.col("error").isNotNull()).drop("scope", "top")
+        return staged(hashed.unionByName(rest, allowMissingColumns=True), "inventory")
 
     def plan(self, inventory: DataFrame, root: str) -> Plan:
         return planner.build_plan(inventory, root.rstrip("/") or "/", self.cfg, self.rules, self.classifier)
@@ -155,21 +158,31 @@ class Organizer:
         results = staged(apply.operation_results(plan.resolved, plan.inventory), "results")
         return Outcome(plan, results, dry_run)
 
-    def verify(self, outcome: Outcome, rescan: DataFrame) -> Outcome:
-        """Marks operations whose content at the destination is not what was planned."""
-        moved = outcome.file_results.where(F.col("status") == "ok")
-        checked = dedup.verify_integrity(moved.select(F.col("final_destination").alias("path"), "hash"), rescan)
-        bad = checked.where(F.col("status").isin("mismatch", "missing")).select(
+    def verify(self, outcome: Outcome, rescan: DataFrame | None = None) -> Outcome:
+        """Marks operations whose content at the destination is not what was planned.
+
+        Without ``rescan`` the destinations are read anew, each of them; a run without ``verify_integrity`` has no digest
+        of files that it did not read, and these stay as they are. ``rescan`` (path, hash) stands for such a reading.
+        """
+        results = outcome.file_results
+        moved = results.where((F.col("status") == "ok") & F.col("hash").isNotNull()).select(
+            F.col("final_destination").alias("path"), "size_bytes", "hash")
+        if rescan is None:
+            checked = hashing.verify_contents(moved, self.cfg.hash_algorithm, self.cfg.hash_block_size)
+        else:
+            checked = dedup.verify_planned(moved, rescan)
+        bad = staged(checked.where(F.col("status").isin("mismatch", "missing")).select(
             F.col("path").alias("final_destination"),
             F.concat(F.lit("Integrity verification failed: "), F.col("status")).alias("_bad"),
-        )
-        results = (
-            outcome.file_results.join(bad, "final_destination", "left")
+        ), "integrity")
+        marked = (
+            results.join(bad, "final_destination", "left")
+            .withColumn("_bad", F.when(F.col("status") == "ok", F.col("_bad")))
             .withColumn("error", F.coalesce("_bad", "error"))
             .withColumn("status", F.when(F.col("_bad").isNotNull(), "mismatch").otherwise(F.col("status")))
             .drop("_bad")
         )
-        return replace(outcome, file_results=results)
+        return replace(outcome, file_results=marked)
 
     def write_log(self, outcome: Outcome, folder: str, run_id: str) -> None:
         """To be called before the new inventory is published. A dry run writes nothing."""

@@ -106,13 +106,16 @@ def build_plan(
     columns = ["path", "size_bytes", "hash", "modified_time", "is_symlink"]
     if cfg.perceptual_dedup:
         columns.append("sketch")
-    readable = F.col("hash").isNotNull()
+    if "content_key" in inventory.columns:
+        columns.append("content_key")
+    readable = dedup.content_key(inventory).isNotNull()
+    failed = (F.col("scope") == scope.FILE) & ~readable
+    message = F.lit("unreadable")
     if "error" in inventory.columns:
-        errors = scoped.where(~readable).select("path", F.coalesce("error", F.lit("unreadable")).alias("message"))
-    else:
-        errors = scoped.where((F.col("scope") == scope.FILE) & ~readable).select(
-            "path", F.lit("unreadable").alias("message")
-        )
+        readable &= F.col("error").isNull()
+        failed = F.col("error").isNotNull() | failed
+        message = F.coalesce("error", message)
+    errors = scoped.where(failed).select("path", message.alias("message"))
     files = inside.where(readable).select(*columns)
     placed = classify(inside.where(readable), rules, cfg, custom).select(*columns, "category", "subcategory")
 

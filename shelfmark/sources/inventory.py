@@ -1,13 +1,8 @@
-"""The file inventory: listings, inventory tables and content hashes."""
+"""Inventory tables: what a run starts from when nothing is scanned."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 INVENTORY_DDL = (
     "path string, size_bytes bigint, hash string, modified_time timestamp, is_symlink boolean"
@@ -19,94 +14,3 @@ def read_inventory(spark: SparkSession, folder: str, fmt: str = "parquet") -> Da
     if fmt == "csv":
         reader = reader.option("header", "true")
     return reader.load(folder)
-
-
-def list_files(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """One row per file below ``root``; the bytes are only read when asked for.
-
-    The listing has no symlink flag and leaves out names that start with '.' or '_'; jobs that
-    need those start from an inventory table.
-    """
-    try:
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        )
-    except AnalysisException as error:
-        raise ValueError(f"no such directory: {root}") from error
-    columns = [
-        F.regexp_replace("path", "^file:/+", "/").alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_time"),
-        F.lit(False).alias("is_symlink"),
-    ]
-    return files.select(*columns, *(["content"] if with_content else []))
-
-
-def content_hash(content: Column, algorithm: str = "sha256") -> Column:
-    """Digest of a value that fits in a row.
-
-    ``xxhash`` groups equal contents like the 64-bit hash of seed 0 does, but its digits differ.
-    """
-    if algorithm == "xxhash":
-        return F.lpad(F.lower(F.hex(F.xxhash64(content))), 16, "0")
-    return F.sha2(content, 256)
-
-
-def stream_hashes(files: DataFrame, algorithm: str = "sha256", block_size: int = 65536) -> DataFrame:
-    """Adds ``hash`` and ``error`` by reading every ``path`` in blocks inside the tasks.
-
-    Meant for objects too large for one row. An unreadable object keeps its row with a null hash
-    and the message.
-    """
-    def digest(path: str) -> tuple[str | None, str | None]:
-        from pyarrow import fs
-
-        state = None
-        if algorithm == "xxhash":
-            try:
-                import xxhash
-
-                state = xxhash.xxh64()
-            except ImportError:
-                pass
-        state = state or hashlib.sha256()
-        try:
-            system, inner = fs.FileSystem.from_uri(path)
-            with system.open_input_stream(inner) as stream:
-                while block := stream.read(block_size):
-                    state.update(block)
-        except OSError as error:
-            return None, str(error)
-        return state.hexdigest(), None
-
-    def hashed(batches: Iterator) -> Iterator:
-        for batch in batches:
-            results = [digest(path) for path in batch["path"]]
-            yield batch.assign(
-                hash=[r[0] for r in results], error=[r[1] for r in results]
-            )
-
-    kept = files.drop("hash", "error")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.repartition("path").mapInPandas(hashed, f"{ddl}, hash string, error string")
-
-
-def candidates_for_hashing(files: DataFrame) -> DataFrame:
-    """Only a size seen more than once can belong to a copy; all other contents stay unread."""
-    shared = files.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size_bytes")
-    return files.join(shared, "size_bytes", "left_semi")
-
-
-def hash_files(files: DataFrame, algorithm: str = "sha256", block_size: int = 65536) -> DataFrame:
-    """Inventory with hashes where they can matter; a file of unique size gets a key of its own.
-
-    Rows with an ``error`` are the ones that could not be read.
-    """
-    shared = (
-        files.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size_bytes")
-    )
-    alone = files.join(shared, "size_bytes", "left_anti")
-    return stream_hashes(candidates_for_hashing(files), algorithm, block_size).unionByName(
-        alone.withColumn("hash", F.concat(F.lit("size:"), F.col("size_bytes")))
-        .withColumn("error", F.lit(None).cast("string"))
-    )

@@ -104,7 +104,7 @@ def test_average_sketch(spark):
 
 
 def test_sha_and_sniffing(spark):
-    from shelfmark.sources.inventory import content_hash
+    from shelfmark.sources.hashing import content_hash
     from shelfmark.sources.mime import sniffed_mime
 
     assert one(spark, content_hash(F.lit(b"abc"))) == hashlib.sha256(b"abc").hexdigest()

@@ -25,35 +25,12 @@ def tree(tmp_path):
     return tmp_path, contents
 
 
-def test_listing_reads_no_content(spark, tree):
-    root, contents = tree
-    listed = inv.list_files(spark, str(root))
-    assert {r.path: r.size_bytes for r in listed.collect()} == {f"{root}/{n}": len(c) for n, c in contents.items()}
-    plan = listed._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
-    with pytest.raises(ValueError):
-        inv.list_files(spark, f"{root}/missing")
-
-
-@pytest.mark.parametrize("algorithm", ["sha256", "xxhash"])
-def test_stream_hashes(spark, tree, algorithm):
-    import xxhash
-
-    root, contents = tree
-    digest = {"sha256": lambda c: hashlib.sha256(c).hexdigest(), "xxhash": lambda c: xxhash.xxh64(c).hexdigest()}[algorithm]
-    got = inv.stream_hashes(inv.list_files(spark, str(root)), algorithm, block_size=2)
-    assert {r.path: r.hash for r in got.collect()} == {f"{root}/{n}": digest(c) for n, c in contents.items()}
-    gone = spark.createDataFrame([(f"{root}/gone",)], "path string")
-    row = inv.stream_hashes(gone, algorithm).first()
-    assert row.hash is None and "gone" in row.error
-
-
 def test_scan_hashes_only_shared_sizes_in_scope(spark, tree):
     root, _ = tree
     got = {os.path.relpath(r.path, root): r.hash for r in Organizer(spark).scan(str(root)).collect()}
-    assert got["MyFolder/nested.txt"] == "not read"
+    assert got["MyFolder/nested.txt"] is None
     assert got["image.jpg"] == got["copy.jpg"] == hashlib.sha256(b"\xff\xd8\xff").hexdigest()
-    assert got["document.pdf"] != got["same_size.txt"]
+    assert got["document.pdf"] != got["same_size.txt"] == hashlib.sha256(b"abc").hexdigest()
     assert got["all_Docs/Text/old.txt"] == got["all_Docs/Text/new.md"]
 
 
@@ -117,8 +94,51 @@ def test_config_roundtrip(spark, tmp_path):
     rules.save_config(spark, cfg, f"{tmp_path}/cfg")
     assert rules.load_config(spark, f"{tmp_path}/cfg") == cfg
     assert rules.load_config(spark, f"{tmp_path}/missing") == JobConfig()
-    (tmp_path / "broken.txt").write_text("strategy: [")
-    assert rules.load_config(spark, f"{tmp_path}/broken.txt") == JobConfig()
+
+
+def test_config_of_a_user(spark, tmp_path, caplog):
+    (tmp_path / "own.yaml").write_text("""# mine
+strategy: by-extension
+ignore_patterns: ["*.tmp", '#*#']   # editors leave them
+classification_rules:
+  Docs:
+    Papers:
+      - .pdf
+      - .ps
+""")
+    cfg = rules.load_config(spark, f"{tmp_path}/own.yaml")
+    assert cfg.ignore_patterns == ("*.tmp", "#*#") and cfg.classification_rules == {"Docs": {"Papers": [".pdf", ".ps"]}}
+    found = {r.rule_ext: r.subcategory for r in rules.extension_lookup(Organizer(spark, cfg).rules).collect()}
+    assert found[".pdf"] == "Papers" and ".docx" not in found and found[".mp3"] == "Music"
+    for broken in ("strategy: [", "strategy: by-magic", "- a\n- b", "a: 1\n   b: 2", "strategy: *ref"):
+        caplog.clear()
+        (tmp_path / "broken.yaml").write_text(broken)
+        assert rules.load_config(spark, f"{tmp_path}/broken.yaml") == JobConfig()
+        assert "broken.yaml" in caplog.text
+    (tmp_path / "nothing.yaml").write_text("# only a comment\n")
+    assert rules.load_config(spark, f"{tmp_path}/nothing.yaml") == JobConfig()
+
+
+@pytest.mark.parametrize("text, value", [
+    ("a: 1\nb: -2.5\nc: yes\nd: ~\ne: '1'\nf: \"x\\n\"\ng: it's # not\n",
+     {"a": 1, "b": -2.5, "c": True, "d": None, "e": "1", "f": "x\n", "g": "it's"}),
+    ("a:\n- 1\n- b: 2\n  c: [x, {y: z}, []]\n-\n  - deep\nd: {}\n", {"a": [1, {"b": 2, "c": ["x", {"y": "z"}, []]}, ["deep"]], "d": {}}),
+    ("---\n- a: 1\n-\n- 'it''s'\n", [{"a": 1}, None, "it's"]),
+    ("url: http://x/y#z\n\"k: 1\": v\n", {"url": "http://x/y#z", "k: 1": "v"}),
+    ("", None),
+])
+def test_plain_yaml(text, value):
+    from shelfmark.sources.plain_yaml import plain_yaml
+
+    assert plain_yaml(text) == value
+
+
+@pytest.mark.parametrize("text", ["a: [1", "a: {b 1}", "a: 1\na: 2", "a:\n\tb: 1", "- 1\nb: 2", "a: 'x", "a: |\n  x", "a: [1] 2"])
+def test_broken_yaml(text):
+    from shelfmark.sources.plain_yaml import plain_yaml
+
+    with pytest.raises(ValueError, match="line"):
+        plain_yaml(text)
 
 
 def test_resume(spark, inventory):
