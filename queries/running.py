@@ -49,6 +49,40 @@ def operation_results(spark, sf):
     return partial_run(spark, sf)[1].select("source", "final_destination", "status", "error")
 
 
+_LIVE = """present as (select * from doc where hash >= '1'),
+  live as (select o.* from ops o join present p on p.path = o.source),
+  chosen as (select destination, {pick}(source, phase || source) as winner from live group by destination)"""
+
+
+def with_live(pick: str, body: str) -> str:
+    text = sql("BODY", "ops", "doc")
+    return text.replace("\nBODY", ",\n" + _LIVE.format(pick=pick) + "\n" + body)
+
+
+def later_inventory(spark, sf, how):
+    """A run that finds one file in sixteen gone between planning and applying."""
+    job, plan = resolved_plan(spark, sf, conflict_resolution=how)
+    rest = staged(plan.inventory.where("hash >= '1'"), "rest")
+    pairs = job.apply(plan, inventory=rest).pairs
+    return apply.inventory_of(pairs, replaces=how == "overwrite").select("path", "hash")
+
+
+@query("apply_overwrite_partial", with_live("arg_max", """
+select coalesce(l.destination, p.path) as path, p.hash from present p left join live l on l.source = p.path
+left join chosen w on w.destination = l.destination
+where l.source = w.winner or l.source is null and p.path not in (select destination from chosen)"""))
+def apply_overwrite_partial(spark, sf):
+    return later_inventory(spark, sf, "overwrite")
+
+
+@query("apply_skip_partial", with_live("arg_min", """
+select case when l.source = w.winner and l.destination not in (select path from doc) then l.destination else p.path end as path,
+  p.hash
+from present p left join live l on l.source = p.path left join chosen w on w.destination = l.destination"""))
+def apply_skip_partial(spark, sf):
+    return later_inventory(spark, sf, "skip")
+
+
 @query("directories_created", sql(CREATED, "resolved"))
 def directories_created(spark, sf):
     return run(spark, sf).created

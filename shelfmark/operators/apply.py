@@ -12,52 +12,89 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 
 
-def operation_results(resolved: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Resolved operations with ``status`` ok/failed/skipped/overwritten and ``error``."""
+MOVED = ("ok", "mismatch", "overwritten")
+
+
+def winners(resolved: DataFrame, inventory: DataFrame, how: str) -> DataFrame:
+    """Who gets the destinations that several operations want, now that some sources may be gone: ``final_destination,
+    winner, occupied``.
+
+    The first (``skip``) or last (``overwrite``) operation whose source is there; none where all are gone. One
+    aggregate, over the contested destinations only.
+    """
+    contested = resolved.where(F.col("status").isin("overwritten", "skipped")).select("final_destination").distinct()
     present = inventory.select(F.col("path").alias("source"), F.lit(True).alias("_present"))
-    missing = F.col("_present").isNull() & (F.col("status") != "skipped")
-    return (
-        resolved.join(present, "source", "left")
-        .withColumn(
-            "error",
-            F.when(missing, F.concat(F.lit("Source file does not exist: "), F.col("source"))).otherwise(F.col("error")),
-        )
-        .withColumn(
-            "status",
-            F.when(missing, "failed").when(F.col("status") == "planned", "ok").otherwise(F.col("status")),
-        )
-        .drop("_present")
+    rivals = resolved.join(contested, "final_destination", "left_semi").join(present, "source", "left")
+    place = F.when(F.col("_present"), F.struct("phase", "source"))
+    first_or_last = F.max(place) if how == "overwrite" else F.min(place)
+    return rivals.groupBy("final_destination").agg(
+        first_or_last["source"].alias("winner"), F.max(F.col("status") == "failed").alias("occupied")
     )
 
 
-def apply_files(inventory: DataFrame, results: DataFrame, replaces: bool = True) -> DataFrame:
-    """The inventory after the file operations.
-
-    ``replaces=False`` promises that no operation overwrites anything and saves a join.
+def matched(resolved: DataFrame, inventory: DataFrame, how: str = "rename") -> DataFrame:
+    """Every row of the inventory with the operation on it: ``row`` and ``op`` (structs, one may be null), and how the
+    operation ended: ``status, error``.
 
-    A row that an operation replaced disappears: it was moved and then overwritten, or it lay at
-    the destination and did not move itself.
+    One join gives the results as well as the new inventory; both are projections of it.
     """
-    moves = results.where(F.col("status").isin("ok", "mismatch", "overwritten")).select(
-        F.col("source").alias("path"), "final_destination", (F.col("status") == "overwritten").alias("_lost")
-    )
-    if not replaces:
-        return (
-            inventory.join(moves.drop("_lost"), "path", "left")
-            .withColumn("path", F.coalesce("final_destination", "path"))
-            .select(*inventory.columns)
+    rows = inventory.select(F.struct(*inventory.columns).alias("row"))
+    ops = resolved.select(F.struct(*resolved.columns).alias("op"))
+    both = rows.join(ops, F.col("row.path") == F.col("op.source"), "full")
+    gone = F.col("row").isNull()
+    missing = F.concat(F.lit("Source file does not exist: "), F.col("op.source"))
+    planned = F.col("op.status")
+    if how not in ("skip", "overwrite"):
+        failed = gone & (planned != "skipped")
+        return both.select(
+            "row", "op", F.when(failed, "failed").when(planned == "planned", "ok").otherwise(planned).alias("status"),
+            F.when(failed, missing).otherwise(F.col("op.error")).alias("error"),
         )
-    targets = results.where(F.col("status").isin("ok", "mismatch")).select(
-        F.col("final_destination").alias("path"), F.lit(True).alias("_hit")
+    place = winners(resolved, inventory, how).withColumnRenamed("final_destination", "_place")
+    both = both.join(place, F.col("op.final_destination") == F.col("_place"), "left")
+    contested, won = F.col("_place").isNotNull(), F.col("winner") == F.col("op.source")
+    blocked = contested & won & F.coalesce("occupied", F.lit(False)) if how == "skip" else F.lit(False)
+    exists = F.concat(F.lit("Destination exists and strategy is SKIP: "), F.col("op.final_destination"))
+    status = (
+        F.when(F.col("op").isNull(), F.lit(None).cast("string")).when(gone | blocked, "failed")
+        .when(contested & won, "ok").when(contested, "skipped" if how == "skip" else "overwritten")
+        .when(planned == "planned", "ok").otherwise(planned)
     )
-    stays = F.col("final_destination").isNull()
-    return (
-        inventory.join(moves, "path", "left")
-        .join(targets, "path", "left")
-        .where(~F.coalesce("_lost", F.lit(False)) & ~(stays & F.col("_hit").isNotNull()))
-        .withColumn("path", F.coalesce("final_destination", "path"))
-        .select(*inventory.columns)
+    error = (
+        F.when(F.col("op").isNull(), F.lit(None).cast("string")).when(gone, missing).when(blocked, exists)
+        .when(~contested, F.col("op.error"))
     )
+    return both.select("row", "op", status.alias("status"), error.alias("error"))
+
+
+def results_of(pairs: DataFrame) -> DataFrame:
+    """The operations of `matched` with their outcome."""
+    names = [f.name for f in pairs.schema["op"].dataType.fields if f.name not in ("status", "error")]
+    return pairs.where(F.col("op").isNotNull()).select(*[F.col(f"op.{n}").alias(n) for n in names], "status", "error")
+
+
+def inventory_of(pairs: DataFrame, replaces: bool = True) -> DataFrame:
+    """The inventory after the operations of `matched`.
+
+    ``replaces=False`` promises that no operation overwrites anything and saves a join. A row that an operation replaced
+    disappears: it was moved and then overwritten, or it lay at the destination and did not move itself.
+    """
+    names = [f.name for f in pairs.schema["row"].dataType.fields]
+    moved = F.coalesce(F.col("status").isin(*MOVED), F.lit(False))
+    now = F.when(moved, F.col("op.final_destination")).otherwise(F.col("row.path"))
+    kept = pairs.where(F.col("row").isNotNull() & ~F.coalesce(F.col("status") == "overwritten", F.lit(False)))
+    columns = [now.alias("path") if n == "path" else F.col(f"row.{n}").alias(n) for n in names]
+    if not replaces:
+        return kept.select(columns)
+    targets = pairs.where(F.col("status").isin("ok", "mismatch")).select(
+        F.col("op.final_destination").alias("_target"), F.lit(True).alias("_hit"))
+    return kept.withColumn("_stays", F.when(~moved, F.col("row.path"))).join(
+        targets, F.col("_stays") == F.col("_target"), "left_anti").select(columns)
+
+
+def operation_results(resolved: DataFrame, inventory: DataFrame, how: str = "rename") -> DataFrame:
+    """Resolved operations with ``status`` ok/failed/skipped/overwritten and ``error``."""
+    return results_of(matched(resolved, inventory, how))
 
 
 def directories_created(results: DataFrame) -> DataFrame:

@@ -25,8 +25,10 @@ class Outcome:
     """An applied run. Its tables are built when first asked for."""
 
     plan: Plan
+    pairs: DataFrame
     file_results: DataFrame
     dry_run: bool = False
+    before: DataFrame | None = None
 
     @cached_property
     def dir_results(self) -> DataFrame:
@@ -42,11 +44,8 @@ class Outcome:
     def inventory(self) -> DataFrame:
         """The inventory after the run."""
         if self.dry_run:
-            return self.plan.inventory
-        moved = apply.apply_files(
-            self.plan.inventory, self.file_results,
-            replaces=self.plan.cfg.conflict_resolution == "overwrite",
-        )
+            return self.before
+        moved = apply.inventory_of(self.pairs, replaces=self.plan.cfg.conflict_resolution == "overwrite")
         return apply.apply_directories(moved, self.dir_results, self.plan.root)
 
     @cached_property
@@ -57,7 +56,7 @@ class Outcome:
     @cached_property
     def removed(self) -> DataFrame:
         return apply.empty_directories(
-            self.plan.inventory, self.inventory, self.plan.root, self.plan.cfg.directory_prefix
+            self.before, self.inventory, self.plan.root, self.plan.cfg.directory_prefix
         ).where(F.lit(not self.dry_run))
 
     def metrics(self) -> DataFrame:
@@ -151,12 +150,17 @@ class Organizer:
             available_bytes=available_bytes, space_factor=self.cfg.space_factor, target=target,
         )
 
-    def apply(self, plan: Plan, dry_run: bool = False) -> Outcome:
-        """A dry run gives the same results and leaves the inventory as it is."""
+    def apply(self, plan: Plan, dry_run: bool = False, inventory: DataFrame | None = None) -> Outcome:
+        """A dry run gives the same results and leaves the inventory as it is.
+
+        ``inventory`` is what is there by now, if that is not what was planned on: an operation whose source has gone
+        fails, and where several wanted one destination the next of them gets it.
+        """
         if plan.resolved is None:
             plan = self.resolve(plan)
-        results = staged(apply.operation_results(plan.resolved, plan.inventory), "results")
-        return Outcome(plan, results, dry_run)
+        before = plan.inventory if inventory is None else inventory
+        pairs = staged(apply.matched(plan.resolved, before, self.cfg.conflict_resolution), "results")
+        return Outcome(plan, pairs, apply.results_of(pairs), dry_run, before)
 
     def verify(self, outcome: Outcome, rescan: DataFrame | None = None) -> Outcome:
         """Marks operations whose content at the destination is not what was planned.
