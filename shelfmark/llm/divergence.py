@@ -83,7 +83,7 @@ def counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY,
     the largest counts, ties by term. The vocabulary stays a table: it grows with the corpus, so it does not pass the
     driver and is not sent to all executors. Every task adds up its own documents; its sums are dealt by term.
     """
-    partial = texts_of(docs).mapInArrow(summed(held), SUMS)
+    partial = texts_of(docs).mapInArrow(summed(held), SUMS).repartition("lang", "term")  # for both steps below
     groups = partial.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
     everywhere = Window.partitionBy("lang", "term")
     kept = groups.withColumn("documents", F.sum("documents").over(everywhere)).where(F.col("documents") >= min_df).drop("documents")
