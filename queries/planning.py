@@ -148,9 +148,9 @@ _LINK_WALK = """links as (
             when (doc_id // 97) % 5 = 3 then doc_id else doc_id - 97 end as target_id from doc where is_symlink) s
     left join doc t on t.doc_id = s.target_id),
   chain as (select path, target as at, 1 as steps from links
-    union all select c.path, l.target, c.steps + 1 from chain c join links l on l.path = c.at where c.steps < 41),
+    union all select c.path, l.target, c.steps + 1 from chain c join links l on l.path = c.at where c.steps <= (select count(*) from links)),
   bad as (select path, target from links where path not in (
-    select c.path from chain c join doc d on d.path = c.at where c.steps <= 40 and c.at not in (select path from links)))"""
+    select c.path from chain c join doc d on d.path = c.at where c.at not in (select path from links)))"""
 _LINK_SQL = _FINDING.format(severity="warning", check="link") + """o.source as subject,
     'unresolved link to ' || b.target as message from {ops} o join bad b on b.path = o.source"""
 
@@ -220,6 +220,27 @@ def validate_links(spark, sf):
     return validate.check_links(ops, fx.links(spark, sf), inventory)
 
 
+_LONG = """hops as (select doc_id, case when doc_id % 300 = 0 then doc_id + 7 when doc_id % 70 = 17 then -1
+    else doc_id - 1 end as target from documents where doc_id % 95 <> 31),
+  far as (select doc_id, target, 1 as steps from hops
+    union all select f.doc_id, h.target, f.steps + 1 from far f join hops h on h.doc_id = f.target where f.steps <= 400)"""
+
+
+@query("validate_long_links", f"""with recursive {_LONG}
+select doc_id, case when steps > 400 then 'loop' else 'broken' end as reason
+from (select doc_id, max(steps) as steps, arg_max(target, steps) as target from far group by doc_id)
+where steps > 400 or target not in (select doc_id from documents)""")
+def validate_long_links(spark, sf):
+    """Chains of up to some hundred links, circles with chains that lead into them, and ends that are not there."""
+    documents = fx.table(spark, sf, "documents").select("doc_id")
+    links = documents.where("doc_id % 95 <> 31").selectExpr(
+        "cast(doc_id as string) as path",
+        """case when doc_id % 300 = 0 then cast(doc_id + 7 as string) when doc_id % 70 = 17 then 'none'
+             else cast(doc_id - 1 as string) end as target""")
+    found = validate.unresolved_links(links, documents.select(F.col("doc_id").cast("string").alias("path")))
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), "reason")
+
+
 def findings(spark, sf):
     job = organizer(spark)
     inventory = doc_inventory(spark, sf)

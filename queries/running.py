@@ -252,13 +252,31 @@ def report_duplicates_section(spark, sf):
 
     documents = report.duplicates_section(*doc_sets(spark, sf))
     parsed = F.from_json(
-        "document", "count bigint, size_bytes bigint, primary string, extras array<string>, listed boolean"
+        "document", "count bigint, size_bytes bigint, primary string, extras array<string>"
     )
     return documents.select("hash", parsed.alias("d")).select(
         "hash", "d.count", "d.size_bytes", "d.primary", F.array_join("d.extras", "|").alias("extras")
     )
 
 
+@query("report_large_sets", sql(
+    """select lang, (n - 2) // 7 + 1 as part, (max(total) + 5) // 7 as parts, count(*) as extras, min(path) as first, max(path) as last
+       from (select lang, path, count(*) over (partition by lang) as total,
+               row_number() over (partition by lang order by pos <> 1, path) as n
+             from (select *, row_number() over (partition by lang order by length(path), modified_time, path) as pos from doc))
+       where n > 1 group by lang, (n - 2) // 7""", "doc"))
+def report_large_sets(spark, sf):
+    """Sets far larger than a document lists, as if all files of a language were copies; nothing is left out."""
+    from queries import fixtures as fx
+
+    files = fx.doc(spark, sf).withColumn("hash", F.col("lang"))
+    documents = report.duplicates_section(files, dedup.duplicate_sets(dedup.by_content(files)), 7, hot_rows=100)
+    parsed = F.from_json("document", "hash string, extras array<string>, part bigint, parts bigint")
+    return documents.select(parsed.alias("d")).select(
+        F.col("d.hash").alias("lang"), "d.part", "d.parts", F.size("d.extras").cast("bigint").alias("extras"),
+        F.col("d.extras")[0].alias("first"), F.element_at("d.extras", -1).alias("last"))
+
+
 def _lines(section: int, texts: str, source: str) -> str:
     return f"""select {section}::int as section, unnest(range(len(l)))::int as line_no, '' as sort_key, unnest(l) as line
       from (select [{texts}] as l from {source})"""
@@ -283,3 +301,36 @@ def _lines(section: int, texts: str, source: str) -> str:
 def report_text(spark, sf):
     outcome = run(spark, sf)
     return report.text_report(outcome.file_results, outcome.plan.sets, DOC_ROOT, outcome.created)
+
+
+def _listing(section: int, title: str, ops: str, icon: str) -> str:
+    blank = "''" if section > 4 else "null"
+    return f"""select section::int as section, line_no::int as line_no, '' as sort_key, line from (
+          select {section} as section, unnest([0, 1]) as line_no, unnest([{blank}, '{title} (showing first 20):']) as line
+          from (select count(*) as n from {ops}) where n > 0) where line is not null
+        union all select {section + 1}, unnest([0, 1]), lpad(n::varchar, 9, '0'), unnest([
+          lpad(n::varchar, 3, ' ') || '. ' || {icon} || ' ' || split_part(source, '/', -1),
+          '      -> ' || substr(destination, 9)])
+          from (select *, row_number() over (order by source_order, source) as n from {ops}) where n <= 20
+        union all select {section + 2}, 0, '', '      ... and ' || (n - 20) || ' more' from (select count(*) as n from {ops}) where n > 20"""
+
+
+@query("preview_report", sql(
+    f"""file_ops as (select *, phase as source_order from ops), folder_ops as (select *, 4 as source_order from dirops),
+        passed as (select o.source from ops o join crowded c using (destination) where o.source <> c.first_source),
+        facts as (select (select count(*) from ops) as files, (select cast(sum(cnt - 1) as bigint) from sets) as extra,
+          (select cast(sum(space_wasted) as bigint) from sets) as bytes,
+          (select string_agg(c, ', ' order by c) from (select distinct split_part(destination, '/', -2) as c from ops)) as used)
+        {_lines(0, """repeat('=', 80), 'ORGANIZATION PLAN PREVIEW', repeat('=', 80), 'Root Directory: /corpus',
+          'Total Files: ' || files, 'Duplicate Files: ' || extra,
+          'Space Recoverable: ' || printf('%.2f', bytes / 1073741824.0::double) || ' GB', 'Categories: ' || used, ''""", "facts")}
+        union all {_listing(4, "FILE OPERATIONS", "file_ops", "case when phase = 1 then '🔁' else '📋' end")}
+        union all {_listing(7, "DIRECTORY OPERATIONS", "folder_ops", "'📁'")}
+        union all {_lines(10, "'', 'SKIPPED FILES:'", "(select 1 from passed limit 1)")}
+        union all select 11, 0, source, '  ⊘ ' || source from (select source from passed order by source limit 20)
+        union all {_lines(12, "'', repeat('=', 80)", "facts")}""",
+    "ops", "dirops", "sets", "crowded").replace("\nfile_ops as", ",\nfile_ops as", 1))
+def preview_report(spark, sf):
+    """What a run that skips taken names would do: files, directories, skipped files."""
+    _, plan = resolved_plan(spark, sf, conflict_resolution="skip")
+    return report.preview_report(plan, 20)

@@ -11,8 +11,7 @@ from shelfmark.functions import paths
 from shelfmark.session import staged
 
 ERROR, WARNING = "error", "warning"
-# Fixed value: links followed before a chain counts as a loop.
-MAX_LINKS = 40
+LOOP, BROKEN = "loop", "broken"
 
 
 def _finding(df: DataFrame, severity: str | Column, check: str, subject: Column, message: Column) -> DataFrame:
@@ -118,32 +117,27 @@ def check_sources(ops: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def unresolved_links(links: DataFrame, existing: DataFrame) -> DataFrame:
-    """Links (``path, target``) whose chain is a loop, too long or ends at nothing.
+    """Links (``path, target``) that lead nowhere: ``path, target, reason``, which is ``loop`` or ``broken``.
 
-    Chains are followed by doubling: after k rounds every link has taken up to 2^k steps, and the
-    loop stops as soon as no link moved.
+    Chains of any length are followed by doubling: after k rounds every link has taken 2^k steps or is at its end. In
+    each round some chain ends as long as one has not, so when the number of links that still move stays the same these are
+    the ones that run in circles. A chain of n links takes ceil(log2(n)) rounds and one more.
     """
-    def doubled(hops: DataFrame) -> DataFrame:
-        onward = hops.select(F.col("path").alias("at"), F.col("at").alias("_to"), F.col("steps").alias("_more"))
-        return hops.join(onward, "at", "left").select(
-            "path", F.coalesce("_to", "at").alias("at"),
-            (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
-            F.col("_to").isNotNull().alias("moved"),
-        )
-
-    hops = staged(links.select("path", F.col("target").alias("at"), F.lit(1).alias("steps")), "links")
-    reach = 1
-    while reach < MAX_LINKS:
-        # Written after every third doubling only; until then the plan stays small.
-        hops = staged(doubled(doubled(doubled(hops))), "links")
-        reach *= 8
-        if hops.where("moved").isEmpty():
+    hops = staged(links.select("path", F.col("target").alias("at")), "links")
+    moving = hops.join(hops.select(F.col("path").alias("at")), "at", "left_semi").count()
+    while moving:
+        onward = hops.select(F.col("path").alias("at"), F.col("at").alias("_to"))
+        hops = staged(hops.join(onward, "at", "left").select("path", F.coalesce("_to", "at").alias("at")), "links")
+        still = hops.join(hops.select(F.col("path").alias("at")), "at", "left_semi").count()
+        if still == moving:
             break
-    ends = existing.select(F.col("path").alias("at")).join(
-        links.select(F.col("path").alias("at")), "at", "left_anti"
-    )
-    good = hops.where(F.col("steps") <= MAX_LINKS).join(ends, "at", "left_semi")
-    return links.join(good.select("path"), "path", "left_anti")
+        moving = still
+    known = existing.select(F.col("path").alias("at"), F.lit(True).alias("_there"))
+    again = links.select(F.col("path").alias("at"), F.lit(True).alias("_link"))
+    ends = hops.join(again, "at", "left").join(known, "at", "left").where(
+        F.col("_link").isNotNull() | F.col("_there").isNull())
+    reason = F.when(F.col("_link").isNotNull(), F.lit(LOOP)).otherwise(F.lit(BROKEN))
+    return links.join(ends.select("path", reason.alias("reason")), "path").select("path", "target", "reason")
 
 
 def check_links(ops: DataFrame, links: DataFrame, existing: DataFrame) -> DataFrame:

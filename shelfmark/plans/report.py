@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.config import REASON_DUPLICATE
 from shelfmark.functions import paths
 from shelfmark.functions.formats import format_duration, format_size, one_decimal
 from shelfmark.operators import dedup
 from shelfmark.operators.apply import result_metrics
+from shelfmark.plans.planner import ORDER, Plan, categories_used
+from shelfmark.skew import HOT_ROWS, row_numbers
 
 OK = ("ok", "overwritten")
 
@@ -120,22 +123,20 @@ def summary_report(
     return facts.select(F.inline(rows)).where("shown").drop("shown")
 
 
-def duplicates_section(files: DataFrame, sets: DataFrame, max_extras: int = 1000) -> DataFrame:
-    """One JSON document per duplicate set.
+def duplicates_section(files: DataFrame, sets: DataFrame, max_extras: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """JSON documents of the duplicate sets, each with at most ``max_extras`` extras in path order.
 
-    A document lists the extras of a set in path order while there are at most ``max_extras``
-    of them; ``listed`` says so. The extras of larger sets stay rows (``dedup.extras``).
+    A larger set goes on in further documents: ``part`` of ``parts``. Every extra is in exactly one.
     """
-    listable = sets.where(F.col("cnt") - 1 <= max_extras)
-    listed = (
-        dedup.extras(files, listable).groupBy("hash").agg(F.sort_array(F.collect_list("path")).alias("extras"))
-    )
-    return sets.join(listed, "hash", "left").select(
-        "hash",
+    numbered = row_numbers(dedup.extras(files, sets).select("hash", "path"), ["hash"], ["path"], "_n", hot_rows)
+    listed = numbered.groupBy("hash", F.ceil(F.col("_n") / max_extras).alias("part")).agg(
+        F.sort_array(F.collect_list("path")).alias("extras"))
+    return sets.join(listed, "hash").select(
+        "hash", "part",
         F.to_json(
             F.struct(
-                "hash", F.col("cnt").alias("count"), "size_bytes", "primary", "extras",
-                F.col("extras").isNotNull().alias("listed"),
+                "hash", F.col("cnt").alias("count"), "size_bytes", "primary", "extras", "part",
+                F.ceil((F.col("cnt") - 1) / max_extras).alias("parts"),
             )
         ).alias("document"),
     )
@@ -157,17 +158,22 @@ def operations_section(results: DataFrame) -> DataFrame:
     )
 
 
-def summary_section(results: DataFrame, sets: DataFrame, root: str, dry_run: bool = False) -> DataFrame:
+def summary_section(
+    results: DataFrame, sets: DataFrame, root: str, dry_run: bool = False, duration_seconds: float | None = None
+) -> DataFrame:
     """The head of the report as one JSON document."""
     total = F.col("files_moved") + F.col("files_failed")
     return result_metrics(results).withColumn("copies", dedup.waste_struct(sets)).select(
         F.to_json(
             F.struct(
-                F.lit("1.0").alias("version"), F.lit(dry_run).alias("dry_run"),
+                F.lit("1.0").alias("version"),
+                F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("generated_at"),
+                F.lit(dry_run).alias("dry_run"),
                 F.struct(
                     F.lit(root).alias("root_directory"), total.alias("total_operations"),
                     F.col("files_moved").alias("successful_operations"),
                     F.col("files_failed").alias("failed_operations"), "success_rate",
+                    F.lit(duration_seconds).cast("double").alias("duration_seconds"),
                 ).alias("summary"),
                 F.struct(
                     F.col("copies.sets").alias("sets_found"), F.col("copies.total_duplicates"),
@@ -180,15 +186,21 @@ def summary_section(results: DataFrame, sets: DataFrame, root: str, dry_run: boo
 
 def save_json_report(
     folder: str, results: DataFrame, files: DataFrame, sets: DataFrame, root: str,
-    created: DataFrame, removed: DataFrame, dry_run: bool = False,
+    created: DataFrame, removed: DataFrame, dry_run: bool = False, errors: DataFrame | None = None,
+    duration_seconds: float | None = None,
 ) -> None:
-    """A folder with one JSON-lines dataset per section, so no section is bounded by a task."""
-    head = summary_section(results, sets, root, dry_run)
+    """A folder with one JSON-lines dataset per section, so no section is bounded by a task.
+
+    ``errors``: ``path, message`` of what the plan could not look at.
+    """
+    head = summary_section(results, sets, root, dry_run, duration_seconds)
     head.write.mode("overwrite").text(f"{folder}/summary")
     duplicates_section(files, sets).select("document").write.mode("overwrite").text(f"{folder}/duplicates")
     operations_section(results).write.mode("overwrite").partitionBy("section").text(f"{folder}/operations")
     created.write.mode("overwrite").json(f"{folder}/directories_created")
     removed.write.mode("overwrite").json(f"{folder}/directories_removed")
+    if errors is not None:
+        errors.select("path", "message").write.mode("overwrite").json(f"{folder}/errors")
 
 
 def text_report(
@@ -247,6 +259,61 @@ def text_report(
     )
 
 
+def preview_report(plan: Plan, limit: int = 50) -> DataFrame:
+    """Rows ``section, line_no, sort_key, line`` of what a plan would do, for people.
+
+    The first ``limit`` operations on files and on directories in their order and how many more there are, all errors,
+    and the first skipped files of a resolved plan.
+    """
+    def fixed(section: int, df: DataFrame, *texts: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), F.posexplode(F.array(*texts)).alias("line_no", "line")).where(
+            F.col("line").isNotNull()).select("section", "line_no", F.lit("").alias("sort_key"), "line")
+
+    def listed(section: int, title: str, ops: DataFrame, icon: Column) -> list[DataFrame]:
+        n = ops.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+        first = ops.orderBy(*ORDER).limit(limit).withColumn("_i", F.row_number().over(Window.orderBy(*ORDER)))
+        target = F.concat(F.lit("      -> "), paths.relative(F.col("destination"), plan.root))
+        named = F.format_string("%3d. %s %s", "_i", icon, paths.base_name(F.col("source")))
+        rows = first.select(
+            F.lit(section + 1).alias("section"), F.posexplode(F.array(named, target)).alias("line_no", "line"),
+            F.lpad(F.col("_i").cast("string"), 9, "0").alias("sort_key"),
+        ).select("section", "line_no", "sort_key", "line")
+        more = F.col("n") - limit
+        blank = F.lit("") if section > 4 else F.lit(None).cast("string")
+        return [
+            fixed(section, n, blank, F.lit(f"{title} (showing first {limit}):")), rows,
+            fixed(section + 2, n, F.when(more > 0, F.concat(F.lit("      ... and "), more.cast("string"), F.lit(" more")))),
+        ]
+
+    def marked(section: int, df: DataFrame, text: str, mark: str) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), F.lit(0).alias("line_no"), F.col(text).alias("sort_key"),
+                         F.concat(F.lit(f"  {mark} "), F.col(text)).alias("line"))
+
+    rule = F.lit("=" * 80)
+    sets = plan.sets if plan.sets is not None else plan.ops.select("hash", F.lit(0).alias("cnt"), F.lit(0).alias("space_wasted")).where("false")
+    used = categories_used(plan.ops, plan.root).agg(F.array_join(F.array_sort(F.collect_set("category")), ", ")).scalar()
+    facts = plan.ops.agg(F.count(F.lit(1)).alias("files")).withColumn("copies", dedup.waste_struct(sets))
+    head = fixed(
+        0, facts, rule, F.lit("ORGANIZATION PLAN PREVIEW"), rule, F.lit(f"Root Directory: {plan.root}"),
+        F.concat(F.lit("Total Files: "), F.col("files").cast("string")),
+        F.concat(F.lit("Duplicate Files: "), F.col("copies.total_duplicates").cast("string")),
+        F.format_string("Space Recoverable: %.2f GB", F.col("copies.space_recoverable") / 1024**3),
+        F.concat(F.lit("Categories: "), used), F.lit(""),
+    )
+    some_errors = plan.errors.limit(1)
+    icon = F.when(F.col("reason") == REASON_DUPLICATE, F.lit("🔁")).otherwise(F.lit("📋"))
+    parts = [
+        head, fixed(1, some_errors, F.lit("ERRORS:")), marked(2, plan.errors, "message", "❌"), fixed(3, some_errors, F.lit("")),
+        *listed(4, "FILE OPERATIONS", plan.ops, icon),
+        *listed(7, "DIRECTORY OPERATIONS", plan.dir_ops, F.lit("📁")),
+    ]
+    if plan.skipped is not None:
+        first = plan.skipped.orderBy("path").limit(limit)
+        parts += [fixed(10, first.limit(1), F.lit(""), F.lit("SKIPPED FILES:")), marked(11, first, "path", "⊘")]
+    parts.append(fixed(12, facts, F.lit(""), rule))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def save_text_report(report: DataFrame, folder: str) -> None:
     """Text files whose names sort in report order; the error list may be of any length."""
     (

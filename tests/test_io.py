@@ -152,6 +152,26 @@ def test_resume(spark, inventory):
     assert resume.progress_summary(progress, F.lit(0)).first().percent == 0.0
 
 
+def test_progress_is_saved_and_cleared(spark, inventory, tmp_path):
+    folder = f"{tmp_path}/progress"
+    assert resume.read_progress(spark, folder).count() == 0
+    files = inventory(("/r/a", "x"), ("/r/b", "y"), ("/r/c", "z"), ("/r/unread", None))
+    resume.save_progress(files.where("hash = 'x' or hash is null"), folder, "r1", "/r", "execution")
+    resume.save_progress(files.where("hash = 'y'"), folder, "r1", "/r", "execution", resume.FAILED)
+    saved = resume.read_progress(spark, folder)
+    assert {r.path for r in resume.remaining(files, saved).collect()} == {"/r/b", "/r/c", "/r/unread"}
+    assert [tuple(r) for r in resume.progress_summary(saved, F.lit(4)).select("root", "completed", "failed").collect()] == [("/r", 2, 1)]
+    assert [r.run_id for r in resume.latest_runs(saved).collect()] == ["r1"]
+    resume.clear_progress(spark, folder, "r1", "/r")
+    saved = resume.read_progress(spark, folder)
+    assert resume.latest_runs(saved).count() == 0 and resume.current(saved).count() == 0
+    resume.save_progress(files.where("hash = 'z'"), folder, "r2", "/r", "analysis")
+    saved = resume.current(resume.read_progress(spark, folder))
+    assert {r.path for r in resume.remaining(files, saved).collect()} == {"/r/a", "/r/b", "/r/unread"}
+    with pytest.raises(ValueError):
+        resume.save_progress(files, folder, "r2", "/r", "dreaming")
+
+
 def test_reports(spark, inventory, tmp_path):
     files = inventory(("/r/a.pdf", "x", 2048), ("/r/bb.pdf", "x", 2048), ("/r/c.txt", "y"), ("/r/gone.txt", "z"))
     job = Organizer(spark)
@@ -177,14 +197,25 @@ def test_reports(spark, inventory, tmp_path):
     ]
     assert lines[lines.index("ERRORS") + 2:][:2] == ["  ❌ /r/gone.txt", "     Error: Source file does not exist: /r/gone.txt"]
     assert lines[-3:] == ["=" * 80, "END OF REPORT", "=" * 80]
-    report.save_json_report(f"{tmp_path}/json", results, files, done.plan.sets, "/r", done.created, done.removed)
+    report.save_json_report(f"{tmp_path}/json", results, files, done.plan.sets, "/r", done.created, done.removed,
+                            errors=done.plan.errors, duration_seconds=1.5)
+    assert os.path.isdir(f"{tmp_path}/json/errors")
     sets = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/json/duplicates").collect()]
-    assert sets == [{"hash": "x", "count": 2, "size_bytes": 2048, "primary": "/r/a.pdf", "extras": ["/r/bb.pdf"], "listed": True}]
+    assert sets == [{"hash": "x", "count": 2, "size_bytes": 2048, "primary": "/r/a.pdf", "extras": ["/r/bb.pdf"], "part": 1, "parts": 1}]
     head = json.loads(spark.read.text(f"{tmp_path}/json/summary").first().value)
     assert head["summary"]["successful_operations"] == 3 and head["duplicates"]["sets_found"] == 1
+    assert head["summary"]["duration_seconds"] == 1.5 and head["generated_at"][:2] == "20"
     assert spark.read.text(f"{tmp_path}/json/operations/section=failed").count() == 1
 
 
+def test_report_of_a_large_set(spark, inventory):
+    files = inventory(*[(f"/r/{n:05d}", "x") for n in range(1501)])
+    sets = files.groupBy("hash").agg(F.count(F.lit(1)).alias("cnt"), F.min("size_bytes").alias("size_bytes"), F.min("path").alias("primary"))
+    got = [json.loads(r.document) for r in report.duplicates_section(files, sets, hot_rows=200).collect()]
+    assert sorted((d["part"], d["parts"], len(d["extras"])) for d in got) == [(1, 2, 1000), (2, 2, 500)]
+    assert sorted(p for d in got for p in d["extras"]) == [f"/r/{n:05d}" for n in range(1, 1501)]
+
+
 def test_content_and_tags_do_not_travel(spark):
     """Contents are looked at in the scan stage and never shuffled."""
     files = spark.createDataFrame(
