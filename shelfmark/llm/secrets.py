@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,62 +21,115 @@ ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
 WINDOW = 20
 # Character classes: the pattern that a candidate fits whole, and the bits that one of its windows must reach.
 CLASSES = [("hex", "^[0-9a-fA-F-]+$", 3.0), ("letters and digits", "^[0-9a-zA-Z]+$", 3.7), ("base64", "", 3.9)]
-ALLOWED = ["^[0-9-]+$", "(?i)example|placeholder|sample|dummy|changeme", "^(.)\\1+$", "(?i)^0x0+$"]
+# What lets a value off: numbers and dates, one character, a first word that says it stands for something.
+ALLOWED = ["^[0-9-]+$", "^(?:example|EXAMPLE|Example|placeholder|sample|dummy|changeme|PLACEHOLDER|SAMPLE|DUMMY|CHANGEME)",
+           "^(.)\\1+$", "(?i)^0x0+$"]
+BLOCK = 256  # lengths that are added up at once
+WORD_BITS, PER_WORD = 5, 12  # counts of up to WINDOW, so many to a 64-bit number
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` refers to it, inside other lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
+def starts_of(lengths: Column) -> Column:
+    """Where pieces of these ``lengths`` start when they follow each other.
+
+    Sums go on in blocks, since a list that grows is copied at every step; a block's start is the sum of the blocks before.
+    """
+    def sums(numbers: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("found"))
+        return F.aggregate(numbers, zero, lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found")), lambda acc: acc["found"])
+
+    def blocks(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")),
+                           lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def spread(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda x, y: x + y))
+        return bound(totals, lambda t: F.flatten(F.zip_with(parts, sums(t, F.lit(0)), sums)))
+
+    return bound(lengths, lambda all_: bound(blocks(all_), spread))
+
+
+SPANS = "array<struct<start:int,order:int,end:int,kind:string,value:string>>"
 
 
 def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
-    """array<struct<start, order, end, kind, value>> of the matches whose ``group`` has ``least`` characters.
+    """SPANS of the matches whose ``group`` has ``least`` characters.
 
     Matches and the text between them come from the same pattern; their lengths in code points give the places.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    order = KINDS.index(kind)
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:int>>").alias("found"))
-    places = F.aggregate(
-        F.sequence(F.lit(1), F.size(matches)), zero,
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(matches, i))).alias("at"),
-            F.concat(acc["found"], F.array(F.struct(
-                (acc["at"] + F.length(F.element_at(gaps, i))).alias("start"), i.alias("match")))).alias("found")),
-        lambda acc: acc["found"])
-    found = F.transform(places, lambda p: F.struct(
-        p["start"].alias("start"), F.lit(order).alias("order"),
-        (p["start"] + F.length(F.element_at(matches, p["match"]))).alias("end"), F.lit(kind).alias("kind"),
-        F.element_at(value, p["match"]).alias("value")))
-    kept = found if least <= 1 else F.filter(found, lambda s: F.length(s["value"]) >= least)
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>")
-    return F.when(F.size(matches) > 0, kept).otherwise(none)
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"))
 
+    def placed(p: Column) -> Column:
+        size = F.size(p["matches"])
+        lengths = F.zip_with(F.slice(p["gaps"], F.lit(1), size), p["matches"], lambda g, m: F.length(g) + F.length(m))
+        rows = F.arrays_zip(starts_of(lengths).alias("at"), F.slice(p["gaps"], F.lit(1), size).alias("gap"),
+                            p["matches"].alias("match"), p["values"].alias("value"))
+        found = F.transform(rows, lambda r: F.struct(
+            (r["at"] + F.length(r["gap"])).alias("start"), F.lit(KINDS.index(kind)).alias("order"),
+            (r["at"] + F.length(r["gap"]) + F.length(r["match"])).alias("end"), F.lit(kind).alias("kind"), r["value"].alias("value")))
+        kept = found if least <= 1 else F.filter(found, lambda s: F.length(s["value"]) >= least)
+        return F.when(size > 0, kept).otherwise(F.array().cast(SPANS))
 
-def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of ``window`` consecutive characters.
+    return bound(parts, placed)
 
-    Counts per character and the sum of c log2 c follow the window: one character enters, one leaves.
-    """
-    size = len(ALPHABET)
-    chars = F.split(value, "")
-    zero = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-    def weight(count: Column) -> Column:
-        return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+def masked(text: Column, pattern: str) -> Column:
+    """``text`` with every character of a match replaced by one that no candidate has; places stay."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+    blank = F.lit("\x01")
+    return bound(parts, lambda p: F.array_join(F.zip_with(
+        p["gaps"], p["matches"], lambda g, m: F.concat(g, F.repeat(blank, F.coalesce(F.length(m), F.lit(0))))), ""))
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.element_at(chars, i))
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = place(i)
-        leaves = F.when(i > window, place(F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
-        gone = F.when(leaves > 0, F.element_at(acc["counts"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
-        there = F.element_at(acc["counts"], enters) - F.when(enters == leaves, 1).otherwise(0)
-        total = acc["sum"] - weight(gone) + weight(gone - 1) - weight(there) + weight(there + 1)
-        bits = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0)
-                             - F.when(k + 1 == leaves, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+def window_entropy(value: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy, in bits, of ``window`` consecutive characters.
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: acc["best"])
+    Counts per character and the sum of c log2 c follow the window: one character enters, one leaves. The counts are
+    packed, some to a number, so that a step touches few of them.
+    """
+    words = -(-len(ALPHABET) // PER_WORD)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), words).alias("counts"), F.lit(0).alias("n"),
+                    F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    weights = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 2)])  # of c, at c
+    full = math.log2(window)
+
+    def placed(char: Column) -> Column:
+        """Which number a character's count lies in, where in it, and what one more adds to it."""
+        place = F.instr(F.lit(ALPHABET), char) - 1
+        shift = (place % PER_WORD * WORD_BITS).cast("int")
+        return F.struct(F.floor(place / PER_WORD).cast("int").alias("word"), shift.alias("shift"),
+                        F.call_function("shiftleft", F.lit(1).cast("bigint"), shift).alias("one"))
+
+    def count(counts: Column, at: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, at["word"]), at["shift"]).bitwiseAND(
+            F.lit((1 << WORD_BITS) - 1)).cast("int")
+
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+        gone = count(acc["counts"], leaves)
+        there = count(acc["counts"], enters) - F.when(leaves["one"] == 0, 0).when(
+            (leaves["word"] == enters["word"]) & (leaves["shift"] == enters["shift"]), 1).otherwise(0)
+        left = F.when(leaves["one"] == 0, F.lit(0.0)).otherwise(F.get(weights, gone) - F.get(weights, gone - 1))
+        total = acc["sum"] - left - F.get(weights, there) + F.get(weights, there + 1)
+        counts = F.transform(acc["counts"], lambda c, k: F.when(k == enters["word"], c + enters["one"]).otherwise(c)
+                             - F.when(k == leaves["word"], leaves["one"]).otherwise(F.lit(0).cast("bigint")))
+        bits = F.when(acc["n"] >= window - 1, full - total / window).otherwise(F.lit(0.0))
+        return F.struct(counts.alias("counts"), (acc["n"] + 1).alias("n"), total.alias("sum"),
+                        F.greatest(acc["best"], bits).alias("best"))
+
+    def folded(chars: Column) -> Column:
+        nobody = F.struct(F.lit(0).alias("word"), F.lit(0).alias("shift"), F.lit(0).cast("bigint").alias("one"))
+        behind = F.slice(F.concat(F.array_repeat(nobody, window), chars), F.lit(1), F.size(chars))
+        return F.aggregate(F.arrays_zip(chars.alias("enters"), behind.alias("leaves")), zero, step, lambda acc: acc["best"])
+
+    return bound(F.transform(F.split(value, ""), placed), folded)
 
 
 def suspicious(value: Column, allowed: Sequence[str] = tuple(ALLOWED)) -> Column:
@@ -96,18 +150,18 @@ def joined(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, found): spans of the fixed forms, and all spans with those of high entropy, sorted by place.
 
-    Null is scanned like the empty text: no spans. A string of high entropy that lies inside a span of a fixed form
-    adds none. Every row is scanned whole and by itself.
+    Null is scanned like the empty text: no spans. What lies in a span of a fixed form belongs to it; candidates are the
+    runs outside. Every row is scanned whole and by itself, so equal rows have equal spans, an empty table gives no rows,
+    and time grows with a text's length and its number of matches. Spans of one place stand in the order of KINDS.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = masked(masked(masked(text, ASSIGN), ACCESS), HEX)
     fixed = docs.select(
         F.col("doc_id").cast("bigint"),
         F.array_sort(F.concat(spans(text, ASSIGN, "assign", 1, 6), spans(text, ACCESS, "access"),
                               spans(text, HEX, "hex"))).alias("base"),
-        spans(text, CANDIDATE, "entropy").alias("more"))
-    new = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return fixed.select("doc_id", "base", F.array_sort(F.concat(
-        "base", F.filter(new, lambda s: suspicious(s["value"])))).alias("found"))
+        F.filter(spans(rest, CANDIDATE, "entropy"), lambda s: suspicious(s["value"])).alias("more"))
+    return fixed.select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("found"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -164,6 +164,55 @@ def test_entropy(spark):
     assert found == "entropy:4:28"
 
 
+def added(text):
+    """The candidates outside the fixed forms whose windows are mixed enough, slowly."""
+    import math
+    import re
+    from collections import Counter
+
+    for kind, pattern in (("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX)):
+        text = re.sub(pattern, lambda m: "\x01" * len(m[0]), text, flags=re.ASCII)
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text, re.ASCII):
+        value = m[0]
+        least = next(bits for _, form, bits in secrets.CLASSES if re.search(form, value))
+        if not re.search("[A-Za-z]", value) or any(re.search(p, value) for p in secrets.ALLOWED):
+            continue
+        best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(value[i:i + 20]).values()) for i in range(len(value) - 19))
+        if best >= least - 1e-9:
+            out.append(("entropy", *m.span()))
+    return out
+
+
+def test_added_spans(spark):
+    """Planted keys of each class among words, forms, other scripts and what the allow-list lets off."""
+    rng = random.Random(6)
+    letters = secrets.ALPHABET[:62]
+    make = [lambda: "".join(rng.choices(secrets.ALPHABET[:16], k=23)), lambda: "".join(rng.choices(letters, k=rng.randint(20, 60))),
+            lambda: "".join(rng.choices(secrets.ALPHABET, k=rng.randint(20, 60))), lambda: "word " * 5, lambda: "\u00e9\U0001f389 ",
+            lambda: "password: hunter2secret", lambda: "example" + "".join(rng.choices(letters, k=30)), lambda: "2024-01-01-2024-01-01-22",
+            lambda: "AKIA" + "Z9" * 9, lambda: "0123456789abcdef" * 2, lambda: "a1" * 15, lambda: "x=1&token=" + "k3" * 9]
+    rows = [(i, rng.choice([" ", "\n", ", "]).join(rng.choice(make)() for _ in range(rng.randint(0, 30)))) for i in range(150)]
+    got = {r.doc_id: r.spans for r in secrets.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    n = 0
+    for i, text in rows:
+        found = brute.secrets(text) + added(text)
+        n += len(added(text))
+        order = sorted(found, key=lambda f: (f[1], secrets.KINDS.index(f[0])))
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in order)
+    assert n > 300
+
+
+def test_secrets_of_long_texts(spark):
+    """Time follows the length: a candidate of a quarter of a megabyte, and tens of thousands of matches."""
+    rng = random.Random(7)
+    rows = [(1, "".join(rng.choices(secrets.ALPHABET, k=250_000))), (2, "token=abcdefg1 " * 30_000), (3, "x" * 3_000_000),
+            (4, " ".join("".join(rng.choices(secrets.ALPHABET, k=24)) for _ in range(10_000)))]
+    got = {r.doc_id: r for r in secrets.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].spans == "entropy:0:250000" and got[2].n_assign == 30_000 and got[3].spans == ""
+    assert got[2].spans.endswith("assign:449985:449999") and got[4].spans.count("entropy") > 9_000
+
+
 def test_top_k(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
     rows = [(r.vec_id, r.embedding) for r in rows] + [(1000 + i, rows[3].embedding) for i in range(60)] + [(2000, None)]
