@@ -176,6 +176,65 @@ def compared(suffixes: DataFrame, length: int, lead: int) -> DataFrame:
     )
 
 
+def across_borders(texts: DataFrame, length: int) -> DataFrame:
+    """(row, first, stop) of windows that occur again, for (left, right, n, row, anchor) of leads of any size.
+
+    Every window is a suffix of its own. Sampled splitters deal them by their bytes, equal ones by their place, so that a
+    hot suffix lies in as many buckets as it needs. A bucket is sorted and neighbours in it are compared; of what it
+    begins and ends with it hands on the bytes and how many they are, and these few are compared across the borders.
+    """
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                near = r["left"] + r["right"]
+                starts = range(len(near) - length + 1)
+                at = r["anchor"] - len(r["left"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([near[i:i + length] for i in starts], pa.binary()), pa.array(np.full(len(starts), r["n"])),
+                    pa.array(np.full(len(starts), r["row"])), pa.array(np.arange(len(starts)) + at)],
+                    ["suffix", "n", "row", "first"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows without a suffix are windows that occur again; those with one are a bucket's ends, for the borders."""
+        suffix, total, alone, is_first = None, 0, (None, None), True
+        out: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
+                                              ["suffix", "n", "row", "first"])
+
+        for batch in batches:
+            for own, n, row, first in zip(*(batch[c].to_pylist() for c in ("suffix", "n", "row", "first"))):
+                if own != suffix:
+                    if suffix is not None and is_first:
+                        out.append((suffix, total, *alone))
+                        is_first = False
+                    suffix, total, alone = own, 0, (None, None)
+                if alone[0] is not None:
+                    out.append((None, None, *alone))
+                total += n
+                alone = (row, first) if total == 1 else (None, None)
+                if total > 1:
+                    out.append((None, None, row, first))
+            if out:
+                yield packed()
+                out = []
+        if suffix is not None:
+            out.append((suffix, total, *alone))
+            yield packed()
+
+    kinds = "suffix binary, n bigint, row bigint, first bigint"
+    order = ["suffix", "row", "first"]
+    dealt = texts.select("left", "right", "n", "row", "anchor").mapInArrow(single, kinds).repartitionByRange(*order)
+    found = staged(dealt.sortWithinPartitions(*order).mapInArrow(compare, kinds), "borders")
+    ends = found.where(F.col("suffix").isNotNull())  # two a bucket at most
+    over = ends.groupBy("suffix").agg(F.sum("n").alias("n"), F.array_compact(F.collect_list(
+        F.when(F.col("row").isNotNull(), F.struct("row", "first")))).alias("alone")).where("n > 1")
+    hits = found.where(F.col("suffix").isNull()).select("row", "first").unionByName(over.select(F.inline("alone")))
+    return hits.select("row", "first", (F.col("first") + 1).alias("stop"))
+
+
 def passages(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int = HOT) -> DataFrame:
     """(row, windows) for (row, text): runs (first, stop) of the starts of ``length``-byte strings that start elsewhere too.
 
@@ -183,12 +242,12 @@ def passages(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int =
     2. Runs of windows with equal bytes are counted as one class each. If a class has two members, all its windows
        occur again; a class is looked into only where its lead has other classes, and only one member of it.
     3. These members' bytes are fetched, range-partitioned by lead, and sorted and compared bucket by bucket.
-    4. A lead with more than ``hot`` classes (a passage in a large share of the corpus, at its borders) is not put into
-       one bucket: its windows are compared one by one across all tasks by 128-bit digests.
+    4. A lead with more than ``hot`` classes (a passage in a large share of the corpus, at its borders) is no bucket: the
+       suffixes of all its windows are range-partitioned, wherever borders fall, and compared across them.
     """
-    found = anchored(docs, length, lead)
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    live = staged(found.join(again, "key"), "suffixes")
+    found = staged(anchored(docs, length, lead), "anchors")
+    again = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "shared-leads")
+    live = staged(found.join(again, "key"), "suffixes")  # two written tables, so that a hot key can be split
     classes = live.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("m"))
     classes = staged(classes, "suffix-classes")
     leads = staged(classes.groupBy("key").agg(F.count(F.lit(1)).alias("others")).where("others > 1"), "suffix-leads")
@@ -222,23 +281,8 @@ def passages(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int =
     texts = staged(texts, "suffix-bytes")
     windows = whole.unionByName(compared(texts.where("not hot"), length, lead))
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for r in batch.to_pylist():
-                near = r["left"] + r["right"]
-                starts = range(len(near) - length + 1)
-                at = r["anchor"] - len(r["left"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([digest(near[i:i + length]) for i in starts], pa.binary()),
-                    pa.array(np.full(len(starts), r["n"])), pa.array(np.full(len(starts), r["row"])),
-                    pa.array(np.arange(len(starts)) + at)], ["digest", "n", "row", "first"])
-
     if not leads.where(F.col("others") > hot).isEmpty():
-        each = staged(texts.where("hot").mapInArrow(single, "digest binary, n bigint, row bigint, first bigint"), "windows")
-        twice = each.groupBy("digest").agg(F.sum("n").alias("_n")).where("_n > 1").select("digest")
-        hits = each.join(twice, "digest").select("row", "first", (F.col("first") + 1).alias("stop"))
-        windows = windows.unionByName(hits)
+        windows = windows.unionByName(across_borders(texts.where("hot"), length))
     return windows.groupBy("row").agg(F.collect_list(F.struct("first", "stop")).alias("windows"))
 
 

@@ -58,6 +58,48 @@ def test_suffix_dedup_of_shared_passages(spark, hot):
     same(table(suffixes.deduplicated(docs, hot=hot), *SUFFIX), brute.suffix_dedup([(i, t.encode()) for i, t in rows]))
 
 
+def test_suffix_dedup_over_stretches(spark, monkeypatch):
+    """Texts that are worked on stretch by stretch."""
+    monkeypatch.setattr(suffixes, "STRETCH", 700)
+    rng = random.Random(8)
+    shared = ["".join(rng.choices("abcd ", k=n)) for n in (199, 200, 500, 2500)]
+    rows = [(i, "".join(rng.choice(shared) if rng.random() < 0.3 else "".join(rng.choices("abcd ", k=rng.randint(0, 300)))
+                        for _ in range(10))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(table(suffixes.deduplicated(docs), *SUFFIX), brute.suffix_dedup([(i, t.encode()) for i, t in rows]))
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    """A passage on both sides of the end of a stretch of 4 MiB, and once more in a short text."""
+    rng = random.Random(9)
+    long = bytearray(rng.choices(b"abcdefghijklmnop", k=suffixes.STRETCH + 5000))
+    passage = bytes(long[suffixes.STRETCH - 150:suffixes.STRETCH + 150])
+    rows = [(1, long.decode()), (2, "xyz" + passage.decode() + "xyz")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.spans) for r in suffixes.deduplicated(docs).collect()}
+    a = suffixes.STRETCH - 150
+    assert got == {1: (len(long), 300, 1, f"{a}:{a + 300}"), 2: (306, 300, 1, "3:303")}
+
+
+@pytest.mark.parametrize("buckets", [1, 40])
+def test_suffix_dedup_across_borders(spark, buckets):
+    """A passage in some thousand surroundings: hot leads, whose equal suffixes lie in many buckets, or in one."""
+    rng = random.Random(10)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    rows = [(i, "".join(rng.choices("stuvw", k=rng.randint(0, 90))) + passage[rng.choice([0, 0, 5, 40]):]
+             + "".join(rng.choices("stuvw", k=rng.randint(0, 90)))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", buckets)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = table(suffixes.deduplicated(docs, hot=20), *SUFFIX)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    same(got, brute.suffix_dedup([(i, t.encode()) for i, t in rows]))
+
+
 def test_multikey_quicksort():
     rng = random.Random(5)
     strings = [bytes(rng.choices(b"ab\0", k=rng.randint(0, 40))) for _ in range(500)]
