@@ -121,6 +121,98 @@ def test_license_scan(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def rewrapped(text, width):
+    """The same words in other lines; notice lines keep theirs."""
+    import re
+    import textwrap
+
+    out, paragraph = [], []
+    for line in [*text.splitlines(), ""]:
+        notice = re.match(r"\W*(portions )?copyright.*([(]c[)]|\d{4}|[\[<{])", line.lower())
+        if not line.strip() or notice:
+            out += textwrap.wrap(" ".join(paragraph), width) + ([line] if notice else [""])
+            paragraph = []
+        else:
+            paragraph.append(line.strip())
+    return "\n".join(out)
+
+
+def licence_variants(text, title=None):
+    notice = "Copyright (c) 2019-2024 Jos\u00e9 Q. Holder <jose@example.org>\nAll rights reserved.\n\n"
+    yield text
+    yield rewrapped(text, 50)
+    yield notice + rewrapped(text, 110)
+    yield "Copyright 2020, The Authors.\n" + text.upper()
+    yield "# " + (title or "") + "\n\n\u00a9 2021 Someone\n" + text.replace("\n", "\r\n").replace(",", " ,")
+    yield text.replace("license", "licence").replace("License", "Licence").replace("organization", "organisation")
+
+
+def test_every_known_licence(spark):
+    from pathlib import Path
+
+    cases = []
+    for name, text in licenses.KNOWN:
+        if "\n" in text:
+            for title in licenses.TITLES.get(name, [None]):
+                cases += [(name, v) for v in licence_variants(text, title)]
+            cases.append((name, " ".join(text.split())))
+            cases.append((None, text + " And more."))
+            cases.append((None, text.replace(" OR ", " AND ", 1).replace(" or ", " and ", 1)))
+    published = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1",
+                 "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "LGPL-3": "LGPL-3.0", "GFDL-1.3": "GFDL-1.3"}
+    for file, name in published.items():
+        path = Path("/usr/share/common-licenses", file)
+        if path.exists():
+            text = path.read_text(errors="replace")
+            cases += [(name, v) for v in (text, rewrapped(text, 60), rewrapped(text, 120), text.upper(), text.replace("license", "licence"))]
+            cases.append((None, text.replace("you", "they", 1) + "x"))
+            if "END OF TERMS AND CONDITIONS" in text:
+                cases.append((name, text[:text.index("END OF TERMS AND CONDITIONS")]))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    wrong = [(name, got[i], text[:80]) for i, (name, text) in enumerate(cases) if got[i] != name]
+    assert not wrong and len(cases) > 60
+
+
+def slow_canonical(text):
+    """Case, notice lines, punctuation and spellings, one word after another."""
+    import re
+
+    lines = re.sub(r"\r\n?", "\n", (text or "").lower()).split("\n")
+    kept = [x for x in lines if not any(re.match(p, x) for p in (
+        r"[^\w(\u00a9]*(portions )?copyright[\t ,:]*(\(c\)|\u00a9|[0-9]{4}|[<\[{])", r"[^\w(\u00a9]*copyright[\t ].*[^0-9][0-9]{4}[\t .,]*$",
+        r"[^\w(\u00a9]*(\(c\)[\t ]*([0-9]{4}|[<\[{])|\u00a9[\t ]*[\w<\[{])", r"[^\w(\u00a9]*all rights reserved[\t .]*$"))]
+    words = re.findall(r"[^\W_]+", "\n".join(kept))
+    for variant, usual in licenses.SPELLINGS.items():
+        v, u, i, out = variant.split(), usual.split(), 0, []
+        while i < len(words):
+            if words[i:i + len(v)] == v:
+                out += u
+                i += len(v)
+            else:
+                out.append(words[i])
+                i += 1
+        words = out
+    return " ".join(words)
+
+
+def test_license_scan_against_brute_force(spark, sf, odd):
+    known = {}
+    for v in licenses.variants():
+        d = brute.sha(slow_canonical(v["text"]).encode())
+        known[d] = min(v["license"], known.get(d, v["license"]))
+    long = (90, "Copyright (c) 2020 A\n" + "sub licence " * 100_000)
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), odd.select("doc_id", "text"),
+                 spark.createDataFrame([long, long, (91, "copyright holders be\n(c) you must\n (c) 2001 x\ny"), (92, "MIT\nreleased under the mit licence!")],
+                                       "doc_id bigint, text string")):
+        want = []
+        for i, t in pairs(docs):
+            last = (t or "").strip(" ").split("\n")[-1]
+            whole, line = (brute.sha(slow_canonical(x).encode()) for x in (t, last))
+            want.append((i, whole, known.get(whole), known.get(line)))
+        same(table(licenses.scan(docs), "doc_id", "digest", "license", "last_line_license"), want)
+
+
 def test_mix(some, empty):
     rows = [r.asDict() for r in mixing.mix(some).collect()]
     sizes = defaultdict(int)
