@@ -76,6 +76,7 @@ QUERIES = {f.__name__: f for f in (
     op8_url_filter, op9_quality_rules, op10_personal_data, op11_hard_negatives, op12_decontamination,
     op13_source_divergence)} | {"pipeline": corpus_pipeline.run}
 ORACLE = {
+    "op2_license_scan": sql.LICENSE_SCAN,
     "op11_hard_negatives": sql.HARD_NEGATIVES,
     "op12_decontamination": sql.DECONTAMINATION,
     "op13_source_divergence": sql.DIVERGENCE,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shelfmark.llm import licenses
+
 HARD_NEGATIVES = """
 with usable as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
@@ -94,3 +96,34 @@ ranked as (
 )
 select * from ranked where part = 'pair' or rank <= 200
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_scan() -> str:
+    """Whole texts, last lines and known texts take the same canonical form; known digests join them."""
+    head, inner = licenses.COPYRIGHT.removeprefix(r"(?:^|\n)").removesuffix(r"(?=\n|$)").split("*(?:", 1)
+    form = f"regexp_replace(regexp_replace(lower(coalesce(t, '')), '\\r\\n?', chr(10), 'g'), '(?m)^{head}*(?:{inner}$', chr(10), 'g')"
+    form = f"' ' || trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
+    for variant, usual in licenses.SPELLINGS.items():
+        form = f"replace({form}, ' {variant.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
+    form = f"sha256(trim(regexp_replace({form}, ' +', ' ', 'g')))"
+    rows = ", ".join(f"({_quoted(v['license'])}, {_quoted(v['text'])})" for v in licenses.variants())
+    more = ", ".join(f"({_quoted(n)}, {_quoted(d)})" for n, d in licenses.DIGESTS)
+    return f"""
+with known as (
+  select digest, min(license) as license from (
+    select license, {form} as digest from (values {rows}) as k(license, t)
+    union all select * from (values {more}) as d(license, digest)) group by digest
+),
+whole as (select row_number() over () as r, doc_id, {form} as digest from (select doc_id, text as t from documents)),
+line as (select row_number() over () as r, {form} as last
+         from (select string_split(trim(coalesce(text, '')), chr(10))[-1] as t from documents))
+select doc_id, whole.digest, k.license, l.license as last_line_license
+from whole join line using (r) left join known k on k.digest = whole.digest left join known l on l.digest = line.last
+"""
+
+
+LICENSE_SCAN = _license_scan()
