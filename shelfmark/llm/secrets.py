@@ -57,35 +57,46 @@ def starts_of(lengths: Column) -> Column:
 SPANS = "array<struct<start:int,order:int,end:int,kind:string,value:string>>"
 
 
+def parts_of(text: Column, pattern: str) -> Column:
+    """The matches of ``pattern`` and the text between them, which come from the same pattern."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+
+
+def counts(match: Column, pattern: str, group: int, least: int) -> Column:
+    """Whether the ``group`` of a match has ``least`` characters."""
+    return F.length(match if group == 0 else F.regexp_extract(match, pattern, group)) >= least
+
+
 def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
-    """SPANS of the matches whose ``group`` has ``least`` characters.
+    """SPANS of the matches whose ``group`` has ``least`` characters; ``value`` is the match.
 
-    Matches and the text between them come from the same pattern; their lengths in code points give the places.
+    The lengths of matches and gaps in code points give the places. A text without a match is looked through once.
     """
-    parts = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"))
-
     def placed(p: Column) -> Column:
-        size = F.size(p["matches"])
-        lengths = F.zip_with(F.slice(p["gaps"], F.lit(1), size), p["matches"], lambda g, m: F.length(g) + F.length(m))
-        rows = F.arrays_zip(starts_of(lengths).alias("at"), F.slice(p["gaps"], F.lit(1), size).alias("gap"),
-                            p["matches"].alias("match"), p["values"].alias("value"))
+        gaps = F.slice(p["gaps"], F.lit(1), F.size(p["matches"]))
+        lengths = F.zip_with(gaps, p["matches"], lambda g, m: F.length(g) + F.length(m))
+        rows = F.arrays_zip(starts_of(lengths).alias("at"), gaps.alias("gap"), p["matches"].alias("match"))
         found = F.transform(rows, lambda r: F.struct(
             (r["at"] + F.length(r["gap"])).alias("start"), F.lit(KINDS.index(kind)).alias("order"),
-            (r["at"] + F.length(r["gap"]) + F.length(r["match"])).alias("end"), F.lit(kind).alias("kind"), r["value"].alias("value")))
-        kept = found if least <= 1 else F.filter(found, lambda s: F.length(s["value"]) >= least)
-        return F.when(size > 0, kept).otherwise(F.array().cast(SPANS))
+            (r["at"] + F.length(r["gap"]) + F.length(r["match"])).alias("end"), F.lit(kind).alias("kind"), r["match"].alias("value")))
+        return found if least <= 1 else F.filter(found, lambda s: counts(s["value"], pattern, group, least))
 
-    return bound(parts, placed)
+    return F.when(text.rlike(pattern), bound(parts_of(text, pattern), placed)).otherwise(F.array().cast(SPANS))
 
 
-def masked(text: Column, pattern: str) -> Column:
-    """``text`` with every character of a match replaced by one that no candidate has; places stay."""
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+def masked(text: Column, forms: Sequence[tuple[str, int, int]]) -> Column:
+    """``text`` with every character of the spans of ``forms`` (pattern, group, least) replaced by one that no candidate
+    has; places stay."""
     blank = F.lit("\x01")
-    return bound(parts, lambda p: F.array_join(F.zip_with(
-        p["gaps"], p["matches"], lambda g, m: F.concat(g, F.repeat(blank, F.coalesce(F.length(m), F.lit(0))))), ""))
+
+    def one(text: Column, pattern: str, group: int, least: int) -> Column:
+        return bound(bound(text, lambda t: parts_of(t, pattern)), lambda p: F.array_join(F.zip_with(
+            p["gaps"], p["matches"], lambda g, m: F.concat(g, F.when(m.isNull(), F.lit("")).when(
+                counts(m, pattern, group, least), F.repeat(blank, F.length(m))).otherwise(m))), ""))
+
+    for form in forms:
+        text = one(text, *form)
+    return text
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
@@ -155,13 +166,17 @@ def scan(docs: DataFrame) -> DataFrame:
     and time grows with a text's length and its number of matches. Spans of one place stand in the order of KINDS.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = masked(masked(masked(text, ASSIGN), ACCESS), HEX)
-    fixed = docs.select(
-        F.col("doc_id").cast("bigint"),
-        F.array_sort(F.concat(spans(text, ASSIGN, "assign", 1, 6), spans(text, ACCESS, "access"),
-                              spans(text, HEX, "hex"))).alias("base"),
-        F.filter(spans(rest, CANDIDATE, "entropy"), lambda s: suspicious(s["value"])).alias("more"))
-    return fixed.select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("found"))
+    forms = [("assign", ASSIGN, 1, 6), ("access", ACCESS, 0, 1), ("hex", HEX, 0, 1)]
+    base = F.array_sort(F.concat(*[spans(text, pattern, kind, group, least) for kind, pattern, group, least in forms]))
+
+    def more(found: Column) -> Column:
+        """The base spans, and what is suspicious outside them."""
+        rest = F.when(F.size(found) > 0, masked(text, [f[1:] for f in forms])).otherwise(text)
+        added = bound(rest, lambda r: F.filter(spans(r, CANDIDATE, "entropy"), lambda s: suspicious(s["value"])))
+        return F.struct(found.alias("base"), added.alias("added"))
+
+    both = docs.select(F.col("doc_id").cast("bigint"), bound(base, more).alias("both"))
+    return both.select("doc_id", "both.base", F.array_sort(F.concat("both.base", "both.added")).alias("found"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -305,7 +305,7 @@ def added(text):
     from collections import Counter
 
     for kind, pattern in (("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX)):
-        text = re.sub(pattern, lambda m: "\x01" * len(m[0]), text, flags=re.ASCII)
+        text = re.sub(pattern, lambda m: "\x01" * len(m[0]) if kind != "assign" or len(m[1]) >= 6 else m[0], text, flags=re.ASCII)
     out = []
     for m in re.finditer(secrets.CANDIDATE, text, re.ASCII):
         value = m[0]
