@@ -102,6 +102,28 @@ def check_existing_target(ops: DataFrame, existing: DataFrame, target: str = "de
     )
 
 
+def check_targets(ops: DataFrame, existing: DataFrame, target: str = "destination") -> DataFrame:
+    """`check_existing_target` and `check_same_target` at once: the targets are counted and looked up, one row each, and
+    only operations on those that are taken or wanted twice are joined to them."""
+    wanted = ops.groupBy(target).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("phase", "source"))["source"].alias("_first"))
+    taken = existing.select(F.col("path").alias(target), F.lit(True).alias("_taken"))
+    crowded = wanted.join(taken, target, "left").where((F.col("_n") > 1) | F.col("_taken"))
+    place, source = F.col(target), F.col("source")
+
+    def finding(when: Column, severity: str, check: str, message: Column) -> Column:
+        return F.when(when, F.struct(
+            F.lit(severity).alias("severity"), F.lit(check).alias("check"), source.alias("subject"), message.alias("message")))
+
+    found = F.array_compact(F.array(
+        finding(F.col("_taken") & (place != source), WARNING, "existing_target",
+                F.concat(place, F.lit(" exists (resolution: "), F.col("conflict_resolution"), F.lit(")"))),
+        finding((F.col("_n") > 1) & (source != F.col("_first")), ERROR, "same_target",
+                F.concat_ws(" ", place, F.lit("first wanted by"), "_first")),
+    ))
+    return ops.join(crowded, target).select(F.inline(found))
+
+
 def check_sources(ops: DataFrame, existing: DataFrame) -> DataFrame:
     """Sources must be in the inventory, and files where it has a ``kind`` column."""
     columns = [F.col("path").alias("source"), F.lit(True).alias("_found")]
@@ -171,11 +193,7 @@ def validate_plan(
     checks.append(check_into_itself(ops))
     if links is not None:
         checks.append(check_links(ops, links, existing))
-    checks += [
-        check_existing_target(ops, existing, target),
-        check_same_target(ops, target),
-        check_sources(ops, existing),
-    ]
+    checks += [check_targets(ops, existing, target), check_sources(ops, existing)]
     return reduce(DataFrame.unionByName, checks)
 
 
