@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -86,7 +87,7 @@ class Organizer:
 
     The methods return lazy tables, except `scan`, `resolve` and `apply`: these write what later
     steps read several times (the hashed inventory, the operations, the results), and `resolve`
-    measures how crowded the destinations are.
+    measures how crowded the destinations are. ``on_progress(step, rows)`` is called after each of these writes.
     """
 
     def __init__(
@@ -95,8 +96,10 @@ class Organizer:
         cfg: JobConfig | None = None,
         rules: DataFrame | None = None,
         classifier: Classifier | None = None,
+        on_progress: Callable[[str, int], None] | None = None,
     ) -> None:
         self.spark = spark
+        self.on_progress = on_progress
         self.cfg = cfg or JobConfig()
         self.classifier = classifier
         if rules is None:
@@ -112,21 +115,21 @@ class Organizer:
         with ``verify_integrity``; with ``use_magic`` also the head of each, of which only the type is kept (``mime``).
         """
         cfg = self.cfg
-        listed = staged(scope.with_scope(list_files(self.spark, root), root, cfg), "listed")
+        listed = staged(scope.with_scope(list_files(self.spark, root), root, cfg), "listed", self.on_progress)
         inside = listed.where((F.col("scope") == scope.FILE) & F.col("error").isNull()).drop("scope", "top")
         hashed = hashing.hash_files(
             inside, cfg.hash_algorithm, cfg.hash_block_size, all_files=cfg.verify_integrity)
         if cfg.use_magic:
             hashed = hashing.with_heads(hashed).withColumn("mime", sniffed_mime(F.col("head"))).drop("head")
         rest = listed.where((F.col("scope") != scope.FILE) | F.col("error").isNotNull()).drop("scope", "top")
-        return staged(hashed.unionByName(rest, allowMissingColumns=True), "inventory")
+        return staged(hashed.unionByName(rest, allowMissingColumns=True), "inventory", self.on_progress)
 
     def plan(self, inventory: DataFrame, root: str) -> Plan:
         return planner.build_plan(inventory, root.rstrip("/") or "/", self.cfg, self.rules, self.classifier)
 
     def resolve(self, plan: Plan) -> Plan:
-        ops = staged(plan.ops, "ops")
-        resolved = staged(planner.resolve(ops, plan.inventory, self.cfg.conflict_resolution), "resolved")
+        ops = staged(plan.ops, "ops", self.on_progress)
+        resolved = staged(planner.resolve(ops, plan.inventory, self.cfg.conflict_resolution), "resolved", self.on_progress)
         return plan.with_(
             ops=ops,
             resolved=resolved,
@@ -159,7 +162,7 @@ class Organizer:
         if plan.resolved is None:
             plan = self.resolve(plan)
         before = plan.inventory if inventory is None else inventory
-        pairs = staged(apply.matched(plan.resolved, before, self.cfg.conflict_resolution), "results")
+        pairs = staged(apply.matched(plan.resolved, before, self.cfg.conflict_resolution), "results", self.on_progress)
         return Outcome(plan, pairs, apply.results_of(pairs), dry_run, before)
 
     def verify(self, outcome: Outcome, rescan: DataFrame | None = None) -> Outcome:

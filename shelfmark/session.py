@@ -8,8 +8,11 @@ import sys
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SHARED: dict[str, str] = {}
 
@@ -51,15 +54,21 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, told: Callable[[str, int], None] | None = None) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Cuts the lineage, survives the loss of executors, and gives later stages column pruning,
-    filter pushdown and real size statistics.
+    filter pushdown and real size statistics. ``told`` is called with the label and the number of
+    rows, which are counted as they are written.
     """
     spark = df.sparkSession
     folder = new_folder(spark, label)
-    df.write.parquet(folder)
+    if told is None:
+        df.write.parquet(folder)
+    else:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
+        told(label, seen.get["rows"])
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -172,3 +172,11 @@ def test_types_in_a_run(spark, tmp_path):
     assert "content" not in inventory.columns and "head" not in inventory.columns
     got = {os.path.basename(r.source): f"{r.category}/{r.subcategory}" for r in job.plan(inventory, str(root)).ops.collect()}
     assert got == {"paper.dat": "Docs/PDFs", "photo": "Pics/Photos", "tool.txt": "Code/Shell", "x.mp3": "Audio/Music"}
+
+
+def test_progress_is_told(spark, tmp_path):
+    root = put(tmp_path, {"a.txt": b"one", "b.txt": b"two", ".hidden": b"x"})
+    steps = []
+    job = Organizer(spark, on_progress=lambda step, rows: steps.append((step, rows)))
+    job.apply(job.plan(job.scan(str(root)), str(root)))
+    assert steps == [("listed", 3), ("inventory", 3), ("ops", 2), ("resolved", 2), ("results", 3)]
