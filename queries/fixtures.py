@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.sketch import average_sketch
@@ -125,7 +125,8 @@ def arrivals(spark: SparkSession, sf: str) -> DataFrame:
 def in_batches(rows: DataFrame, batches: int = 10) -> str:
     """``rows`` in order of time as so many files, and a last event far in the future: what a stream reads one by one."""
     spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "batches")
-    rows = rows.withColumn("_batch", F.ntile(batches).over(Window.orderBy("ts", "event_id")))
+    cuts = rows.agg(F.percentile_approx(F.unix_micros("ts"), [n / batches for n in range(1, batches)])).first()[0] or []
+    rows = rows.withColumn("_batch", sum((F.when(F.unix_micros("ts") > c, 1).otherwise(0) for c in cuts), F.lit(1)))
     staged = new_folder(spark, "timed")
     rows.write.partitionBy("_batch").parquet(staged)
     for n in range(1, batches + 1):
