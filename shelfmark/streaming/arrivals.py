@@ -1,4 +1,4 @@
-"""Stateful processors: which paths were seen, and which files have settled.
+"""Stateful steps: which paths were seen, and which files have settled.
 
 Times in state are microseconds since 1970, so that nothing depends on a worker's time zone.
 """
@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfmark.session import by_value
 
@@ -34,62 +36,67 @@ def _clock(at: str) -> Column:
     return F.timestamp_micros(F.greatest(F.least(F.col(at), F.lit(7_000_000_000 * 1_000_000)), F.lit(1)))
 
 
-class FirstSeen(StatefulProcessor):
-    """Lets the first event of a path through, and every created one; keeps the path's last time."""
+def _first_of_path(expiry: int | None, columns: list[str]):
+    """Lets the first event of a path through, and every created one; the state is the path's last time."""
 
-    def __init__(self, expiry: int | None) -> None:
-        self.expiry = expiry
+    def run(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        """Of all that is read only the first event of each stretch without a long silence is kept until the end.
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "last bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        """Of all that is read only the first event of each stretch without a long silence is kept until the end."""
-        last = self.seen.get()[0] if self.seen.exists() else None
-        stretches: list[list] = []  # first time, id, last time, event as a table of one row
+        Most paths have one small frame, so it is looked at as arrays and cut once.
+        """
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        stretches: list[list] = []  # first time, id, last time, frame, row in it
+        frame = created = None
         for batch in rows:
-            created = batch["event_type"] == "created"
-            if created.any():
-                yield batch[created].drop(columns=["at_micros", "clock"])
-            batch = batch.sort_values(["at_micros", "event_id"])
-            times = batch["at_micros"].to_numpy()
-            cuts = [0, len(times)]
-            if self.expiry is not None:
-                cuts[1:1] = (1 + (times[1:] - times[:-1] >= self.expiry).nonzero()[0]).tolist()
-            new = [[int(times[a]), int(batch["event_id"].iloc[a]), int(times[b - 1]), batch.iloc[a:a + 1]]
-                   for a, b in zip(cuts, cuts[1:])]
+            if frame is not None:  # there are several: nothing of the one before is kept but its first events
+                if created.any():
+                    yield frame.loc[created, columns]
+                for s in stretches:
+                    if s[3] is frame:
+                        s[3:] = frame.iloc[s[4]:s[4] + 1], 0
+            frame = batch.reset_index(drop=True)
+            times, ids = frame["at_micros"].to_numpy(), frame["event_id"].to_numpy()
+            created = frame["event_type"].to_numpy() == "created"
+            order = np.lexsort((ids, times))
+            cuts = [0, len(order)]
+            if expiry is not None:
+                cuts[1:1] = (1 + np.flatnonzero(np.diff(times[order]) >= expiry)).tolist()
+            stretches += [[int(times[order[a]]), int(ids[order[a]]), int(times[order[b - 1]]), frame, int(order[a])]
+                          for a, b in zip(cuts, cuts[1:])]
             merged: list[list] = []
-            for s in sorted(stretches + new, key=lambda s: s[:2]):
-                if merged and (self.expiry is None or s[0] - merged[-1][2] < self.expiry):
+            for s in sorted(stretches, key=lambda s: s[:2]):
+                if merged and (expiry is None or s[0] - merged[-1][2] < expiry):
                     merged[-1][2] = max(merged[-1][2], s[2])
                 else:
                     merged.append(s)
             stretches = merged
-        for first, _, until, event in stretches:
-            new = last is None or self.expiry is not None and first - last >= self.expiry
-            if new and event["event_type"].iloc[0] != "created":
-                yield event.drop(columns=["at_micros", "clock"])
+        wanted = created.copy()
+        for first, _, until, where, row in stretches:
+            if last is None or expiry is not None and first - last >= expiry:
+                if where is frame:
+                    wanted[row] = True
+                elif where["event_type"].iloc[0] != "created":
+                    yield where[columns]
             last = until if last is None else max(last, until)
-        self.seen.update((last,))
-        if self.expiry is not None:
-            self.handle.registerTimer((last + self.expiry) // 1000 + 1)
+        if wanted.any():
+            yield frame.loc[wanted, columns]
+        state.update((last,))
+        if expiry is not None:
+            state.setTimeoutTimestamp(max((last + expiry) // 1000, state.getCurrentWatermarkMs()) + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists() and (self.seen.get()[0] + self.expiry) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 def first_seen(events: DataFrame, expiry: str | None, delay: str) -> DataFrame:
     times = [f.name for f in events.schema if f.dataType.simpleString() == "timestamp"]
     plain = events.select([F.unix_micros(c).alias(c) if c in times else F.col(c) for c in events.columns])
     marked = plain.withColumn("at_micros", F.col("ts")).withColumn("clock", _clock("ts")).withWatermark("clock", delay)
-    seen = marked.groupBy("path").transformWithStateInPandas(
-        FirstSeen(_micros(events, expiry)), plain.schema, "append", "EventTime" if expiry else "None")
+    seen = marked.groupBy("path").applyInPandasWithState(
+        _first_of_path(_micros(events, expiry), plain.columns), plain.schema, "last bigint", "append",
+        GroupStateTimeout.EventTimeTimeout if expiry else GroupStateTimeout.NoTimeout)
     return seen.select([F.timestamp_micros(c).alias(c) if c in times else F.col(c) for c in events.columns])
 
 
