@@ -9,6 +9,7 @@ from queries.fixtures import DOC_ROOT, sql
 from queries.listing import _HEAD_MIME, scoped, tags
 from queries.registry import query
 from shelfmark.config import JobConfig
+from shelfmark.functions.totals import as_bigint
 from shelfmark.operators import classify as cl
 from shelfmark.operators import scope
 from shelfmark.session import new_folder
@@ -184,4 +185,5 @@ def directory_sizes(spark, sf):
     from shelfmark.operators.rollup import directory_sizes as roll
 
     corpus = roll(fx.doc(spark, sf).select("path", "size_bytes"), DOC_ROOT)
-    return corpus.unionByName(roll(fx.big(spark, sf).select("path", "size_bytes"), fx.BIG_ROOT))
+    sizes = corpus.unionByName(roll(fx.big(spark, sf).select("path", "size_bytes"), fx.BIG_ROOT))
+    return as_bigint(sizes, "total_bytes")
