@@ -8,6 +8,7 @@ from queries import fixtures as fx
 from queries.fixtures import sql
 from queries.placing import doc_files
 from queries.registry import query
+from shelfmark.functions.totals import as_bigint
 from shelfmark.operators import dedup, resume, similarity
 from shelfmark.session import literal_table
 from shelfmark.sources.hashing import content_group, content_hash
@@ -63,13 +64,14 @@ def unique_files(spark, sf):
     f"""select count(*) as sets, cast(sum(cnt - 1) as bigint) as total_duplicates,
           cast(sum(size_bytes * (cnt - 1)) as bigint) as space_recoverable from ({_BIG_SETS})""", "big"))
 def duplicate_waste(spark, sf):
-    return dedup.waste(dedup.duplicate_sets(dedup.by_content(fx.big(spark, sf))))
+    wasted = dedup.waste(dedup.duplicate_sets(dedup.by_content(fx.big(spark, sf))))
+    return as_bigint(wasted, "space_recoverable")
 
 
 @query("inventory_totals", sql(
     "select count(*) as total_files, cast(sum(size_bytes) as bigint) as total_size from big", "big"))
 def inventory_totals(spark, sf):
-    return dedup.totals(fx.big(spark, sf))
+    return as_bigint(dedup.totals(fx.big(spark, sf)), "total_size")
 
 
 _ID = "cast(regexp_extract({}, '([0-9]+)', 1) as bigint)"

@@ -9,6 +9,7 @@ from queries.fixtures import DOC_ROOT, sql
 from queries.placing import custom_rule_table
 from queries.registry import query
 from shelfmark.config import JobConfig
+from shelfmark.functions.totals import as_bigint
 from shelfmark.operators import apply, validate
 from shelfmark.plans import planner, report
 from shelfmark.plans.organizer import Organizer
@@ -98,7 +99,7 @@ def resolve_overwrite(spark, sf):
          (select count(distinct split_part(destination, '/', -2)) from ops) as categories_used""", "ops", "sets"))
 def plan_metrics(spark, sf):
     plan = doc_plan(spark, sf)
-    return planner.plan_metrics(plan.ops, plan.sets, DOC_ROOT)
+    return as_bigint(planner.plan_metrics(plan.ops, plan.sets, DOC_ROOT), "space_recoverable")
 
 
 @query("categories_used", sql("select distinct split_part(destination, '/', -2) as category from ops", "ops"))

@@ -8,6 +8,7 @@ from queries.fixtures import DOC_ROOT, sql
 from queries.planning import doc_plan, organizer, resolved_plan
 from queries.registry import query
 from shelfmark.functions.formats import UNITS
+from shelfmark.functions.totals import as_bigint
 from shelfmark.operators import apply, dedup
 from shelfmark.operators.classify import by_extension
 from shelfmark.plans import report
@@ -211,7 +212,7 @@ def _size_text(x: str) -> str:
                      (select cast(sum(space_wasted) as bigint) from sets) as space_wasted)""", "resolved", "sets"))
 def size_statistics(spark, sf):
     outcome = run(spark, sf)
-    return report.size_statistics(outcome.file_results, outcome.plan.sets)
+    return as_bigint(report.size_statistics(outcome.file_results, outcome.plan.sets), "total_size", "space_wasted")
 
 
 @query("failure_sample", sql(

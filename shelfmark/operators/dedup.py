@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.totals import exact_sum
+
+
 def preferred(*more: str) -> Column:
     """Aggregate: the preferred file as a struct with the columns ``path, modified_time`` and
     ``more``: the shortest path, then the oldest file, then path order."""
@@ -60,10 +63,11 @@ def extras(files: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def waste(sets: DataFrame) -> DataFrame:
+    """Sets, extra copies and the bytes these take; the bytes are a decimal, which no number of files overflows."""
     return sets.agg(
         F.count(F.lit(1)).alias("sets"),
         F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("total_duplicates"),
-        F.coalesce(F.sum("space_wasted"), F.lit(0)).alias("space_recoverable"),
+        F.coalesce(exact_sum("space_wasted"), F.lit(0)).alias("space_recoverable"),
     )
 
 
@@ -73,9 +77,10 @@ def waste_struct(sets: DataFrame) -> Column:
 
 
 def totals(files: DataFrame) -> DataFrame:
+    """Files and their bytes, these as a decimal."""
     return files.agg(
         F.count(F.lit(1)).alias("total_files"),
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size"),
+        F.coalesce(exact_sum("size_bytes"), F.lit(0)).alias("total_size"),
     )
 
 

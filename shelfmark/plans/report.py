@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.config import REASON_DUPLICATE
 from shelfmark.functions import paths
 from shelfmark.functions.formats import format_duration, format_size, one_decimal
+from shelfmark.functions.totals import exact_sum
 from shelfmark.operators import dedup
 from shelfmark.operators.apply import result_metrics
 from shelfmark.plans.planner import ORDER, Plan, categories_used
@@ -41,7 +42,7 @@ def category_statistics(results: DataFrame, root: str, target: str = "final_dest
 
 
 def size_statistics(results: DataFrame, sets: DataFrame) -> DataFrame:
-    moved = successful(results).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size"))
+    moved = successful(results).agg(F.coalesce(exact_sum("size_bytes"), F.lit(0)).alias("total_size"))
     wasted = dedup.waste(sets).select("space_recoverable").scalar()
     return moved.withColumn("space_wasted", wasted).select(
         "total_size", format_size(F.col("total_size")).alias("total_size_text"),
@@ -297,7 +298,7 @@ def preview_report(plan: Plan, limit: int = 50) -> DataFrame:
         0, facts, rule, F.lit("ORGANIZATION PLAN PREVIEW"), rule, F.lit(f"Root Directory: {plan.root}"),
         F.concat(F.lit("Total Files: "), F.col("files").cast("string")),
         F.concat(F.lit("Duplicate Files: "), F.col("copies.total_duplicates").cast("string")),
-        F.format_string("Space Recoverable: %.2f GB", F.col("copies.space_recoverable") / 1024**3),
+        F.format_string("Space Recoverable: %.2f GB", F.col("copies.space_recoverable").cast("double") / 1024**3),
         F.concat(F.lit("Categories: "), used), F.lit(""),
     )
     some_errors = plan.errors.limit(1)
