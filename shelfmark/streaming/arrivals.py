@@ -12,7 +12,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfmark.session import by_value
@@ -21,6 +20,7 @@ by_value(__name__)
 
 BURST = "first bigint, first_id bigint, first_size bigint, last bigint, last_id bigint, last_size bigint, n bigint, created boolean"
 FIELDS = [f.split()[0] for f in BURST.split(", ")]
+BUCKETS = 2048  # groups of paths that share a call and a row of state, whatever the number of paths
 
 
 def _micros(df: DataFrame, interval: str | None) -> int | None:
@@ -36,68 +36,97 @@ def _clock(at: str) -> Column:
     return F.timestamp_micros(F.greatest(F.least(F.col(at), F.lit(7_000_000_000 * 1_000_000)), F.lit(1)))
 
 
+def _bucket() -> Column:
+    """What state is kept by: a call and a state row for many paths, not for each. Must not change under a checkpoint."""
+    return F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+
+
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch(columns)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> list[tuple]:
+    table = pa.ipc.open_stream(bytes(data)).read_all()
+    return list(zip(*(c.to_pylist() for c in table.columns)))
+
+
 def _first_of_path(expiry: int | None, columns: list[str]):
-    """Lets the first event of a path through, and every created one; the state is the path's last time."""
+    """Lets the first event of a path through, and every created one; the state is the last time of a bucket's paths."""
+
+    def stretches(frame: pd.DataFrame) -> Iterator[tuple]:
+        """(path, first time, id, last time, row) of a frame's events of a path without a long silence."""
+        paths, times, ids = (frame[c].to_numpy() for c in ("path", "at_micros", "tie"))
+        codes = pd.factorize(paths, use_na_sentinel=False)[0]
+        order = np.lexsort((ids, times, codes))
+        new = np.diff(codes[order]) != 0
+        if expiry is not None:
+            new |= np.diff(times[order]) >= expiry
+        starts = np.concatenate(([0], 1 + np.flatnonzero(new)))
+        ends = np.concatenate((starts[1:], [len(order)])) - 1
+        firsts = order[starts]
+        return zip(paths[firsts], times[firsts].tolist(), ids[firsts].tolist(), times[order[ends]].tolist(), firsts.tolist())
 
     def run(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        """Of all that is read only the first event of each stretch without a long silence is kept until the end.
-
-        Most paths have one small frame, so it is looked at as arrays and cut once.
-        """
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        stretches: list[list] = []  # first time, id, last time, frame, row in it
-        frame = created = None
-        for batch in rows:
-            if frame is not None:  # there are several: nothing of the one before is kept but its first events
+        """Of all that is read only the first event of each stretch without a long silence is kept until the end."""
+        last = dict(_unpacked(state.get[0])) if state.exists else {}
+        found: dict[str, list[tuple]] = {}
+        kept: list[pd.DataFrame] = []
+        if not state.hasTimedOut:
+            for frame in rows:
+                if not len(frame):
+                    continue
+                created = frame["event_type"].to_numpy() == "created"
                 if created.any():
                     yield frame.loc[created, columns]
-                for s in stretches:
-                    if s[3] is frame:
-                        s[3:] = frame.iloc[s[4]:s[4] + 1], 0
-            frame = batch.reset_index(drop=True)
-            times, ids = frame["at_micros"].to_numpy(), frame["event_id"].to_numpy()
-            created = frame["event_type"].to_numpy() == "created"
-            order = np.lexsort((ids, times))
-            cuts = [0, len(order)]
-            if expiry is not None:
-                cuts[1:1] = (1 + np.flatnonzero(np.diff(times[order]) >= expiry)).tolist()
-            stretches += [[int(times[order[a]]), int(ids[order[a]]), int(times[order[b - 1]]), frame, int(order[a])]
-                          for a, b in zip(cuts, cuts[1:])]
-            merged: list[list] = []
-            for s in sorted(stretches, key=lambda s: s[:2]):
-                if merged and (expiry is None or s[0] - merged[-1][2] < expiry):
-                    merged[-1][2] = max(merged[-1][2], s[2])
-                else:
-                    merged.append(s)
-            stretches = merged
-        wanted = created.copy()
-        for first, _, until, where, row in stretches:
-            if last is None or expiry is not None and first - last >= expiry:
-                if where is frame:
-                    wanted[row] = True
-                elif where["event_type"].iloc[0] != "created":
-                    yield where[columns]
-            last = until if last is None else max(last, until)
-        if wanted.any():
-            yield frame.loc[wanted, columns]
-        state.update((last,))
+                some = [s for s in stretches(frame)]
+                where = len(kept)
+                for n, (path, first, tie, until, row) in enumerate(some):
+                    found.setdefault(path, []).append((first, tie, until, where, n, bool(created[row])))
+                kept.append(frame[columns].iloc[[s[4] for s in some]])
+        wanted: list[list[int]] = [[] for _ in kept]
+        for path, parts in found.items():
+            before = last.get(path)
+            for first, _, until, where, n, created in sorted(parts):
+                if (before is None or expiry is not None and first - before >= expiry) and not created:
+                    wanted[where].append(n)
+                before = until if before is None else max(before, until)
+            last[path] = before
+        for frame, some in zip(kept, wanted):
+            if some:
+                yield frame.iloc[some]
         if expiry is not None:
-            state.setTimeoutTimestamp(max((last + expiry) // 1000, state.getCurrentWatermarkMs()) + 1)
+            now = state.getCurrentWatermarkMs()
+            last = {path: t for path, t in last.items() if (t + expiry) // 1000 + 1 > now}
+        if not last:
+            state.remove()
+            return
+        state.update((_packed({"path": pa.array(list(last), pa.string()), "last": pa.array(list(last.values()), pa.int64())}),))
+        if expiry is not None:
+            state.setTimeoutTimestamp((min(last.values()) + expiry) // 1000 + 1)
 
     return run
 
 
 def first_seen(events: DataFrame, expiry: str | None, delay: str) -> DataFrame:
     times = [f.name for f in events.schema if f.dataType.simpleString() == "timestamp"]
-    plain = events.select([F.unix_micros(c).alias(c) if c in times else F.col(c) for c in events.columns])
-    marked = plain.withColumn("at_micros", F.col("ts")).withColumn("clock", _clock("ts")).withWatermark("clock", delay)
-    seen = marked.groupBy("path").applyInPandasWithState(
-        _first_of_path(_micros(events, expiry), plain.columns), plain.schema, "last bigint", "append",
+    # Whole numbers travel as text: a frame holds numbers beside nulls as floats.
+    longs = [f.name for f in events.schema if f.dataType.simpleString() == "bigint"]
+    plain = events.select([F.unix_micros(c).cast("string").alias(c) if c in times else
+                           F.col(c).cast("string").alias(c) if c in longs else F.col(c) for c in events.columns])
+    marked = (
+        plain.withColumn("at_micros", F.col("ts").cast("bigint"))
+        .withColumn("tie", F.coalesce(F.col("event_id").cast("bigint"), F.lit(2**63 - 1)))
+        .withColumn("clock", _clock("at_micros")).withColumn("bucket", _bucket()).withWatermark("clock", delay)
+    )
+    seen = marked.groupBy("bucket").applyInPandasWithState(
+        _first_of_path(_micros(events, expiry), plain.columns), plain.schema, "paths binary", "append",
         GroupStateTimeout.EventTimeTimeout if expiry else GroupStateTimeout.NoTimeout)
-    return seen.select([F.timestamp_micros(c).alias(c) if c in times else F.col(c) for c in events.columns])
+    return seen.select([F.timestamp_micros(F.col(c).cast("bigint")).alias(c) if c in times else
+                        F.col(c).cast("bigint").alias(c) if c in longs else F.col(c) for c in events.columns])
 
 
 def merged_bursts(bursts: list[tuple], gap: int) -> list[tuple]:
@@ -130,56 +159,63 @@ def _partial_bursts(gap: int):
     return merge
 
 
-class Settled(StatefulProcessor):
-    """Holds a path's open bursts until the watermark says that nobody will add to them."""
-
-    def __init__(self, gap: int, expiry: int | None) -> None:
-        self.gap, self.expiry = gap, expiry
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", BURST)
-        self.seen = handle.getValueState("seen", "last bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        bursts = [tuple(b) for b in self.open.get()]
-        for batch in rows:
-            new = [tuple(None if pd.isna(x) else bool(x) if f == "created" else int(x) for f, x in zip(FIELDS, r))
-                   for r in batch[FIELDS].itertuples(index=False, name=None)]
-            bursts = merged_bursts(bursts + new, self.gap)
-        self.open.put(bursts)
-        for b in bursts:
-            self.handle.registerTimer((b[3] + self.gap) // 1000 + 1)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        last = self.seen.get()[0] if self.seen.exists() else None
-        bursts = [tuple(b) for b in self.open.get()]
-        due = sorted((b for b in bursts if (b[3] + self.gap) // 1000 < now), key=lambda b: b[:2])
-        out = []
-        for b in due:
-            forgotten = self.expiry is not None and last is not None and b[0] - last >= self.expiry
-            if b[7] or last is None or forgotten:
-                out.append((key[0], *b))
-            last = b[3] if last is None else max(last, b[3])
-        if due:
-            left = [b for b in bursts if b not in due]
-            self.open.put(left) if left else self.open.clear()
-            until = None if self.expiry is None else (last + self.expiry) // 1000 + 1
-            if until is not None and not left and until <= timerValues.getCurrentWatermarkInMs():
-                self.seen.clear()
-            else:
-                self.seen.update((last,))
-                if until is not None:
-                    self.handle.registerTimer(until)
-        elif self.expiry is not None and last is not None and (last + self.expiry) // 1000 < now:
-            self.seen.clear()
+def _settled(gap: int, expiry: int | None):
+    """Holds the open bursts of a bucket's paths until the watermark says that nobody will add to them.
+
+    The state is two tables: the open bursts, and the last time of every path of which a burst was done with.
+    """
+    types = {f: pa.bool_() if f == "created" else pa.int64() for f in FIELDS}
+
+    def run(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        open_: dict[str, list[tuple]] = {}
+        seen: dict[str, int] = {}
+        if state.exists:
+            held, last = state.get
+            for path, *burst in _unpacked(held):
+                open_.setdefault(path, []).append(tuple(burst))
+            seen = dict(_unpacked(last))
+        if not state.hasTimedOut:
+            for batch in rows:
+                new: dict[str, list[tuple]] = {}
+                columns = [batch[f].tolist() for f in FIELDS]
+                for path, *burst in zip(batch["path"].tolist(), *columns):
+                    new.setdefault(path, []).append(tuple(
+                        None if x is None or x != x else bool(x) if f == "created" else int(x) for f, x in zip(FIELDS, burst)))
+                for path, bursts in new.items():
+                    open_[path] = merged_bursts(open_.get(path, []) + bursts, gap)
+        now = state.getCurrentWatermarkMs()
+        out, left, wake = [], [], []
+        for path, bursts in open_.items():
+            last = seen.get(path)
+            for b in sorted(bursts, key=lambda b: b[:2]):
+                if (b[3] + gap) // 1000 >= now:
+                    left.append((path, *b))
+                    wake.append((b[3] + gap) // 1000 + 1)
+                    continue
+                forgotten = expiry is not None and last is not None and b[0] - last >= expiry
+                if b[7] or last is None or forgotten:
+                    out.append((path, *b))
+                last = b[3] if last is None else max(last, b[3])
+            if last is not None:
+                seen[path] = last
+        if expiry is not None:
+            seen = {path: t for path, t in seen.items() if (t + expiry) // 1000 + 1 > now}
+            wake += [(t + expiry) // 1000 + 1 for t in seen.values()]
+        if left or seen:
+            columns = list(zip(*left)) or [()] * (1 + len(FIELDS))
+            state.update((
+                _packed({"path": pa.array(columns[0], pa.string()),
+                         **{f: pa.array(c, t) for c, (f, t) in zip(columns[1:], types.items())}}),
+                _packed({"path": pa.array(list(seen), pa.string()), "last": pa.array(list(seen.values()), pa.int64())})))
+            if wake:
+                state.setTimeoutTimestamp(max(min(wake), now + 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["path", *FIELDS])
+            found = pd.DataFrame(out, columns=["path", *FIELDS], dtype=object)
+            yield found.assign(**{f: [None if x is None else str(x) for x in found[f]] for f in FIELDS if "size" in f})
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def settled_files(events: DataFrame, gap: str, expiry: str | None, delay: str) -> DataFrame:
@@ -187,10 +223,13 @@ def settled_files(events: DataFrame, gap: str, expiry: str | None, delay: str) -
     named = events.select("path", F.unix_micros("ts").alias("at"), F.coalesce(F.col("event_id").cast("bigint"), F.lit(0)).alias("event_id"),
                           F.col("size_bytes").cast("bigint"), "event_type")
     partial = named.mapInArrow(_partial_bursts(width), f"path string, {BURST}")
-    marked = partial.withColumn("clock", _clock("last")).withWatermark("clock", delay)
-    settled = marked.groupBy("path").transformWithStateInPandas(
-        Settled(width, _micros(events, expiry)), f"path string, {BURST}", "append", "EventTime")
+    sizes = {f: F.col(f).cast("string") for f in ("first_size", "last_size")}  # beside nulls a frame would hold floats
+    marked = partial.withColumn("clock", _clock("last")).withColumn("bucket", _bucket()).withColumns(sizes).withWatermark(
+        "clock", delay)
+    settled = marked.groupBy("bucket").applyInPandasWithState(
+        _settled(width, _micros(events, expiry)), f"path string, {BURST}".replace("_size bigint", "_size string"),
+        "open binary, seen binary", "append", GroupStateTimeout.EventTimeTimeout)
     return settled.select(
         "path", F.when(F.col("created"), "created").otherwise("modified").alias("event_type"),
         F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros("last").alias("ts"), F.col("n").alias("n_events"),
-        "first_size", F.col("last_size").alias("size_bytes"))
+        F.col("first_size").cast("bigint").alias("first_size"), F.col("last_size").cast("bigint").alias("size_bytes"))
