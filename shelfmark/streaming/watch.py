@@ -117,7 +117,7 @@ def stable_sessions(events: DataFrame, gap: str, delay: str = "0 seconds") -> Da
 def first_seen(events: DataFrame, expiry: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """Events that lead to work: every created event, and a modified one when its path was not seen before.
 
-    State holds a path's last time and nothing else of its events. With ``expiry`` (in event time, like ``30 days``) a
+    State holds a path's last time and nothing else of its events, in one row per bucket of paths. With ``expiry`` (in event time, like ``30 days``) a
     path that had no event for so long counts as new, and its state goes once the watermark has passed; without it the
     state grows with the paths. Events that come more than ``delay`` after a later one are lost.
     """
