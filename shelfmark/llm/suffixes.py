@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ LEAD = 32  # leading bytes that name a suffix
 STRETCH = 1 << 22  # window starts worked on at once; longer texts go on stretch by stretch
 BUCKET = 1 << 14  # suffixes sorted at once
 HOT = 4096  # different surroundings of one lead that are compared in one bucket
+WAYS = 4  # parts into which the windows of a larger lead are cut at once
 PLACE = 16  # bits of a place that hold the run's length and the anchor's offset
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -141,7 +143,7 @@ def repeated(left: list[bytes], right: list[bytes], count: np.ndarray, length: i
 def compared(suffixes: DataFrame, length: int, lead: int) -> DataFrame:
     """(row, first, stop) of windows that occur again, for (lead, left, right, n, row, anchor) within buckets.
 
-    Sampled splitters deal the suffixes by their leading bytes over the tasks and each task has them in order. A
+    ``left`` is backwards, as the bytes lie from the anchor on. Sampled splitters deal the suffixes by their leading bytes over the tasks and each task has them in order. A
     window's suffix has these bytes in full, so nothing is common to suffixes on two sides of a border between leads,
     and a task sorts bucket by bucket, each of whole leads.
     """
@@ -149,7 +151,7 @@ def compared(suffixes: DataFrame, length: int, lead: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(rows: list[dict]) -> pa.RecordBatch:
-            found = repeated([r["left"][::-1] for r in rows], [r["right"] for r in rows],
+            found = repeated([r["left"] for r in rows], [r["right"] for r in rows],
                              np.array([r["n"] for r in rows]), length, most)
             edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             which, begin = np.nonzero(edge == 1)
@@ -176,63 +178,101 @@ def compared(suffixes: DataFrame, length: int, lead: int) -> DataFrame:
     )
 
 
-def across_borders(texts: DataFrame, length: int) -> DataFrame:
-    """(row, first, stop) of windows that occur again, for (left, right, n, row, anchor) of leads of any size.
+def shared(a: bytes, b: bytes) -> int:
+    """The number of leading bytes that two strings have in common."""
+    size = min(len(a), len(b))
+    return size - ((int.from_bytes(a[:size]) ^ int.from_bytes(b[:size])).bit_length() + 7) // 8
+
+
+def alike(suffixes: DataFrame, length: int) -> DataFrame:
+    """(row, first, stop) of windows that occur again, for (key, side, other, by_left, row, anchor).
 
-    Every window is a suffix of its own. Sampled splitters deal them by their bytes, equal ones by their place, so that a
-    hot suffix lies in as many buckets as it needs. A bucket is sorted and neighbours in it are compared; of what it
-    begins and ends with it hands on the bytes and how many they are, and these few are compared across the borders.
+    The suffixes of a key agree in all ``other`` bytes on one side of the anchor and are sorted by the other one, ``side``,
+    on the left if ``by_left``: no one has more in common with a suffix than its neighbours. Sampled splitters deal them by
+    these bytes, equal ones by their place, so that a key lies in as many buckets as it needs. A bucket hands on the
+    first and the last of its suffixes, and these few are compared across the borders.
     """
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                near = r["left"] + r["right"]
-                starts = range(len(near) - length + 1)
-                at = r["anchor"] - len(r["left"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([near[i:i + length] for i in starts], pa.binary()), pa.array(np.full(len(starts), r["n"])),
-                    pa.array(np.full(len(starts), r["row"])), pa.array(np.arange(len(starts)) + at)],
-                    ["suffix", "n", "row", "first"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows without a suffix are windows that occur again; those with one are a bucket's ends, for the borders."""
-        suffix, total, alone, is_first = None, 0, (None, None), True
+    names = ["key", "side", "other", "by_left", "row", "anchor"]
+    found_names = [*names[:5], "first", "stop"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with a stop are runs of windows; those without are a bucket's ends, with their anchor as first."""
         out: list[tuple] = []
 
+        def settle(own: tuple, most: int) -> None:
+            _, _, other, by_left, row, anchor = own
+            if most + other >= length:
+                low, high = (length - other, most) if by_left else (length - most, other)
+                out.append((None, None, None, None, row, anchor - high, anchor - low + 1))
+
         def packed() -> pa.RecordBatch:
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
-                                              ["suffix", "n", "row", "first"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], found_names)
 
+        last, most = None, -1
         for batch in batches:
-            for own, n, row, first in zip(*(batch[c].to_pylist() for c in ("suffix", "n", "row", "first"))):
-                if own != suffix:
-                    if suffix is not None and is_first:
-                        out.append((suffix, total, *alone))
-                        is_first = False
-                    suffix, total, alone = own, 0, (None, None)
-                if alone[0] is not None:
-                    out.append((None, None, *alone))
-                total += n
-                alone = (row, first) if total == 1 else (None, None)
-                if total > 1:
-                    out.append((None, None, row, first))
+            for own in zip(*(batch[c].to_pylist() for c in names)):
+                common = shared(last[1], own[1]) if last and last[0] == own[0] else -1
+                if last:
+                    settle(last, max(most, common))
+                else:
+                    out.append((*own, None))
+                last, most = own, common
             if out:
                 yield packed()
                 out = []
-        if suffix is not None:
-            out.append((suffix, total, *alone))
+        if last:
+            settle(last, most)
+            out.append((*last, None))
             yield packed()
 
-    kinds = "suffix binary, n bigint, row bigint, first bigint"
-    order = ["suffix", "row", "first"]
-    dealt = texts.select("left", "right", "n", "row", "anchor").mapInArrow(single, kinds).repartitionByRange(*order)
-    found = staged(dealt.sortWithinPartitions(*order).mapInArrow(compare, kinds), "borders")
-    ends = found.where(F.col("suffix").isNotNull())  # two a bucket at most
-    over = ends.groupBy("suffix").agg(F.sum("n").alias("n"), F.array_compact(F.collect_list(
-        F.when(F.col("row").isNotNull(), F.struct("row", "first")))).alias("alone")).where("n > 1")
-    hits = found.where(F.col("suffix").isNull()).select("row", "first").unionByName(over.select(F.inline("alone")))
-    return hits.select("row", "first", (F.col("first") + 1).alias("stop"))
+    ddl = "key bigint, side binary, other int, by_left boolean, row bigint, first bigint, stop bigint"
+    order = ["key", "side", "row", "anchor"]
+    dealt = suffixes.select(*names).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = staged(dealt.mapInArrow(neighbours, ddl), "alike")
+    ends = found.where("stop is null").withColumnRenamed("first", "anchor").select(*names)  # two a bucket at most
+    over = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(neighbours, ddl)
+    return found.unionByName(over).where("stop is not null").select("row", "first", "stop")
+
+
+def divided(texts: DataFrame, length: int, lead: int, hot: int) -> DataFrame:
+    """(row, first, stop) of windows that occur again, for (left, right, n, row, anchor) of leads of any size.
+
+    A part has the windows with ``low`` to ``high`` bytes before the anchor. What these have in common, ``low`` bytes on
+    the left and ``length - high`` on the right, is the part's key: who is alone with it has no such window in common
+    with anyone. Groups of at most ``hot`` are sorted and compared bucket by bucket. Larger ones are compared with
+    their neighbours if they agree on one side, as a passage's borders do; others are cut into ``WAYS`` parts. A part of
+    one window agrees on both sides, so a few rounds suffice, and windows are never dealt out one by one.
+    """
+    columns = ["left", "right", "n", "row", "anchor", "low", "high"]
+    key = F.xxhash64("low", "high", F.expr("substring(left, 1, low)"), F.expr(f"substring(right, 1, {length} - high)"))
+    parts = texts.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - lead))
+    few, even = [], []
+    while True:
+        parts = staged(parts.select(*columns, key.alias("key")), "parts")
+        sides = [F.min(F.xxhash64(c)) == F.max(F.xxhash64(c)) for c in ("right", "left")]
+        groups = parts.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("low") == F.col("high")).alias("one"),
+                                          sides[0].alias("same_right"), sides[1].alias("same_left")).where("members > 1")
+        groups = staged(groups, "part-groups")
+        large = groups.where(F.col("members") > hot).select("key", "one", "same_right", "same_left")
+        small = groups.where(F.col("members") <= hot).select("key")
+        few.append(parts.join(large, "key", "left_anti").join(small, "key", "left_semi").drop("low", "high"))
+        agree = F.expr("one or same_right or same_left")
+        by_left = F.expr("one or same_right")
+        side, other = (F.when(by_left, F.col(a)).otherwise(F.col(b)) for a, b in (("left", "right"), ("right", "left")))
+        even.append(parts.join(large.where(agree), "key").select(
+            "key", side.alias("side"), F.length(other).alias("other"), by_left.alias("by_left"), "row", "anchor"))
+        if large.where(~agree).isEmpty():
+            break
+        width = F.expr(f"(high - low + {WAYS}) div {WAYS}").cast("int")
+        cut = parts.join(large.where(~agree).select("key"), "key").withColumn("width", width).withColumn(
+            "low", F.explode(F.expr("sequence(low, high, width)"))).withColumn(
+            "high", F.least("high", F.expr("low + width - 1")))
+        parts = cut.where(f"length(left) >= low and length(right) >= {length} - high").select(
+            F.expr("substring(left, 1, high)").alias("left"), F.expr(f"substring(right, 1, {length} - low)").alias("right"),
+            "n", "row", "anchor", "low", "high")
+    found = compared(reduce(DataFrame.unionByName, few).withColumnRenamed("key", "lead"), length, lead)
+    return found.unionByName(alike(reduce(DataFrame.unionByName, even), length))
 
 
 def passages(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int = HOT) -> DataFrame:
@@ -242,8 +282,9 @@ def passages(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int =
     2. Runs of windows with equal bytes are counted as one class each. If a class has two members, all its windows
        occur again; a class is looked into only where its lead has other classes, and only one member of it.
     3. These members' bytes are fetched, range-partitioned by lead, and sorted and compared bucket by bucket.
-    4. A lead with more than ``hot`` classes (a passage in a large share of the corpus, at its borders) is no bucket: the
-       suffixes of all its windows are range-partitioned, wherever borders fall, and compared across them.
+    4. A lead with more than ``hot`` classes (a passage in a large share of the corpus, at its borders) is no bucket: it is
+       divided by more of the bytes until groups are small or agree on one side, and those are range-partitioned by the
+       other side, wherever borders fall, and compared with their neighbours.
     """
     found = staged(anchored(docs, length, lead), "anchors")
     again = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "shared-leads")
@@ -270,7 +311,7 @@ def passages(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int =
                 for want in wants:
                     p = want["place"]
                     start, size, anchor = p >> PLACE, p >> PLACE // 2 & 255, (p >> PLACE) + (p & 255)
-                    cells = (text[anchor:anchor + lead], text[start:anchor], text[anchor:start + size - 1 + length],
+                    cells = (text[anchor:anchor + lead], text[start:anchor][::-1], text[anchor:start + size - 1 + length],
                              want["n"], row, anchor, want["hot"])
                     for column, cell in zip(out, cells):
                         column.append(cell)
@@ -282,7 +323,7 @@ def passages(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int =
     windows = whole.unionByName(compared(texts.where("not hot"), length, lead))
 
     if not leads.where(F.col("others") > hot).isEmpty():
-        windows = windows.unionByName(across_borders(texts.where("hot"), length))
+        windows = windows.unionByName(divided(texts.where("hot"), length, lead, hot))
     return windows.groupBy("row").agg(F.collect_list(F.struct("first", "stop")).alias("windows"))
 
 

@@ -100,6 +100,46 @@ def test_suffix_dedup_across_borders(spark, buckets):
     same(got, brute.suffix_dedup([(i, t.encode()) for i, t in rows]))
 
 
+def test_suffix_dedup_of_hot_leads_writes_no_windows(spark, monkeypatch):
+    """A hot lead's surroundings are dealt out a few times at most, not once for every window that occurs again."""
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefgh ", k=400))
+    other = passage[:230] + "!" + passage[231:]
+    rows = [(i, "".join(rng.choices("stuvw", k=90)) + rng.choice([passage, passage, other]) + "".join(rng.choices("stuvw", k=90)))
+            for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    written, plain = [], suffixes.staged
+
+    def counted(df, label):
+        out = plain(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(suffixes, "staged", counted)
+    got = table(suffixes.deduplicated(docs, hot=20), *SUFFIX)
+    same(got, brute.suffix_dedup([(i, t.encode()) for i, t in rows]))
+    at = [label for label, _ in written].index("suffix-bytes")
+    hot = written[at + 1:]
+    assert hot and all(n <= 4 * written[at][1] for _, n in hot), written
+
+
+def test_suffix_dedup_of_divided_leads(spark):
+    """Groups that agree on neither side, cut down to parts of single windows, with ends of texts and zero bytes between."""
+    rng = random.Random(12)
+    base = "".join(rng.choices("abc\0", k=600))
+    rows = []
+    for i in range(150):
+        text = list(base[rng.choice([0, 0, 10, 150]):rng.choice([600, 600, 450, 333])])
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = rng.choice("xyz")
+        rows.append((i, "".join(rng.choices("stu", k=rng.choice([0, 3, 80]))) + "".join(text)))
+    rows.append((200, rows[0][1]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute.suffix_dedup([(i, t.encode()) for i, t in rows])
+    for hot in (1, 5, 40):
+        same(table(suffixes.deduplicated(docs, hot=hot), *SUFFIX), want)
+
+
 def test_multikey_quicksort():
     rng = random.Random(5)
     strings = [bytes(rng.choices(b"ab\0", k=rng.randint(0, 40))) for _ in range(500)]
