@@ -216,22 +216,24 @@ def written_files(
 
         import pyarrow as pa
 
-        for batch in batches:
-            for rel, text, link in zip(*(batch[c].to_pylist() for c in ("rel", "text", "link"))):
-                if text is None:
-                    continue
-                path = f"{root}/{rel}"
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(f"{path}.{uuid.uuid4().hex}.part", "wb") as out:
-                    out.write(text.encode())
-                os.replace(out.name, path)  # a task that runs twice writes the same
-                if link:
-                    os.makedirs(f"{root}/links", exist_ok=True)
-                    part = f"{root}/links/{uuid.uuid4().hex}.part"
-                    os.symlink(path, part)
-                    os.replace(part, f"{root}/links/{link}")
-            yield pa.record_batch([batch["doc_id"], pa.array([f"{root}/{r}" for r in batch["rel"].to_pylist()])],
-                                  ["doc_id", "path"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):  # a batch may hold ten thousand texts: few of them as strings at once
+                batch = whole.slice(at, 64)
+                for rel, text, link in zip(*(batch[c].to_pylist() for c in ("rel", "text", "link"))):
+                    if text is None:
+                        continue
+                    path = f"{root}/{rel}"
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    with open(f"{path}.{uuid.uuid4().hex}.part", "wb") as out:
+                        out.write(text.encode())
+                    os.replace(out.name, path)  # a task that runs twice writes the same
+                    if link:
+                        os.makedirs(f"{root}/links", exist_ok=True)
+                        part = f"{root}/links/{uuid.uuid4().hex}.part"
+                        os.symlink(path, part)
+                        os.replace(part, f"{root}/links/{link}")
+                yield pa.record_batch([batch["doc_id"], pa.array([f"{root}/{r}" for r in batch["rel"].to_pylist()])],
+                                      ["doc_id", "path"])
 
     rows = table(spark, sf, "documents").selectExpr(
         "doc_id", f"{path} as rel", f"{changed} as text", "case when doc_id % 97 = 0 then 'l' || doc_id end as link")

@@ -120,7 +120,8 @@ class Organizer:
         hashed = hashing.hash_files(
             inside, cfg.hash_algorithm, cfg.hash_block_size, all_files=cfg.verify_integrity)
         if cfg.use_magic:
-            hashed = hashing.with_heads(hashed).withColumn("mime", sniffed_mime(F.col("head"))).drop("head")
+            # Written in between: else every task holds two Python workers, one that hashes and one that reads heads.
+            hashed = hashing.with_heads(staged(hashed, "hashed")).withColumn("mime", sniffed_mime(F.col("head"))).drop("head")
         rest = listed.where((F.col("scope") != scope.FILE) | F.col("error").isNotNull()).drop("scope", "top")
         return staged(hashed.unionByName(rest, allowMissingColumns=True), "inventory", self.on_progress)
 

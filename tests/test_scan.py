@@ -174,6 +174,20 @@ def test_types_in_a_run(spark, tmp_path):
     assert got == {"paper.dat": "Docs/PDFs", "photo": "Pics/Photos", "tool.txt": "Code/Shell", "x.mp3": "Audio/Music"}
 
 
+def test_heads_are_read_apart_from_digests(spark, tmp_path, monkeypatch):
+    """A task holds one Python worker: what the heads are read for is a written table, not the hashing itself."""
+    root = put(tmp_path, {"a.dat": b"%PDF-1.7", "b.dat": b"#!/bin/sh", "c.dat": b"plain"})
+    plans, plain = [], hashing.with_heads
+
+    def seen(files, *more):
+        plans.append(files._jdf.queryExecution().toString())
+        return plain(files, *more)
+
+    monkeypatch.setattr(hashing, "with_heads", seen)
+    assert Organizer(spark, JobConfig(use_magic=True)).scan(str(root)).count() == 3
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
 def test_progress_is_told(spark, tmp_path):
     root = put(tmp_path, {"a.txt": b"one", "b.txt": b"two", ".hidden": b"x"})
     steps = []
