@@ -10,16 +10,18 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm.common import by_value, id_and_text, values, worker_store
+from shelfmark.llm.common import by_value, id_and_text, slices, values, worker_store
 
 by_value(__name__)
 
 CACHED = 250_000  # chunks of a generation; a worker remembers two
+MET = 1 << 22  # marks of chunks met once (hashes may share one): only those met again are remembered
 ARCS = 400_000  # arcs a worker keeps; beyond it determinisation starts anew
 LOOKAHEAD = 5  # bytes that nearly always decide which tokens fit; the others look further
 BATCH = 4096
@@ -58,6 +60,7 @@ class Transducer:
         self.edges: tuple[dict, dict] = {}, {}
         self.longest = max(map(len, ranks), default=0)
         self.arcs: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.options: dict[tuple, tuple] = {}  # many arcs have the same
         self.seen: dict[bytes, int] = {}
 
     def parted(self, token: int) -> tuple[int, int] | None:
@@ -103,12 +106,14 @@ class Transducer:
         """(token, length) of what may follow ``last`` where ``longest`` is the longest token ahead."""
         if len(self.arcs) >= ARCS:
             self.arcs.clear()
+            self.options.clear()
         found, text = [], self.bytes[longest]
         for n in range(len(text), 0, -1):
             token = self.ranks.get(text[:n])
             if token is not None and (n == 1 or self.parted(token)) and (last < 0 or self.neighbours(last, token)):
                 found.append((token, n))
-        arc = self.arcs[key] = tuple(found)
+        arc = tuple(found)
+        arc = self.arcs[key] = self.options.setdefault(arc, arc)
         return arc
 
     def fit(self, ahead: bytes) -> tuple[int, bool]:
@@ -176,6 +181,7 @@ class Codec:
         self.vocabulary = self.machine.bytes
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.met = bytearray(MET)
         # Letters alone, or with one sign behind, are one piece or two under the usual patterns; asked of this one.
         self.letters = self.split.findall(" ab") == [" ab"] and self.split.findall(" ab.") == [" ab", "."]
 
@@ -192,9 +198,14 @@ class Codec:
                     found += self.machine.encode(piece.encode())
                 ids = array("I", found).tobytes()
         if len(text) < 64:
+            mark = hash(text) % MET
+            if not self.met[mark]:
+                self.met[mark] = 1
+                return ids
             if len(self.young) >= CACHED:
                 self.old = self.young
                 self.young = {}
+                self.met = bytearray(MET)
             self.young[text] = ids
         return ids
 
@@ -254,11 +265,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(name, pattern)
-        for batch in batches:
-            ids = [array("i", own.encode(t or "")) for t in values(batch.column(1))]
-            texts = ["".join(own.decode(i.tobytes())) for i in ids]
+        for batch in slices(batches):
+            ids = [own.encode(t or "") for t in values(batch.column(1))]
+            texts = ["".join(own.decode(i)) for i in ids]
+            ends = np.cumsum([0, *[len(i) // 4 for i in ids]], dtype=np.int32)
+            numbers = pa.array(np.frombuffer(b"".join(ids), np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())],
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), numbers), pa.array(texts, pa.string())],
                 ["doc_id", "ids", "decoded"])
 
     return id_and_text(docs).mapInArrow(each, "doc_id bigint, ids array<int>, decoded string")

@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -21,6 +21,8 @@ def by_value(module: str) -> None:
 
 by_value(__name__)
 
+SLICE = 256  # rows that a worker works on at once
+
 
 def worker_store() -> dict:
     """What a worker keeps from one task to the next: functions sent by value have new globals in every task."""
@@ -60,6 +62,17 @@ def values(column: pa.ChunkedArray | pa.Array) -> Iterator:
         yield scalar.as_py()
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, at most ``rows`` at once, without copying them.
+
+    What a worker makes of a slice, and what goes back to the JVM in one buffer, is as small as that; of an Arrow batch of
+    ten thousand texts it is tens of MB on both sides, which the allocators keep.
+    """
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def unused_name(df: DataFrame, wish: str) -> str:
     taken = {c.lower() for c in df.columns}
     while wish.lower() in taken:

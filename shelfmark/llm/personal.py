@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from shelfmark.llm.common import by_value, id_and_text, staged, unused_name, values
+from shelfmark.llm.common import by_value, id_and_text, slices, staged, unused_name, values
 
 by_value(__name__)
 
@@ -110,7 +110,7 @@ def extract(docs: DataFrame) -> DataFrame:
     entities with their lexical pattern: the seeds (seed = 1), which are those spans, and tokens that may be more."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes, counts, bases, found = [], [], [], []
             for text in values(batch.column(1)):
                 text = text or ""
@@ -202,7 +202,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at, last = keyed.columns.index(text), len(keyed.columns) - 1
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for value, extra in zip(values(batch.column(at)), values(batch.column(last + 1))):
                 if value is None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from shelfmark.llm.common import by_value, id_and_text, staged, unused_name, values
+from shelfmark.llm.common import by_value, id_and_text, slices, staged, unused_name, values
 
 by_value(__name__)
 
@@ -212,7 +212,7 @@ def keep(docs: DataFrame, forest: Forest | None) -> DataFrame:
             failed = np.array([base_failed(c[0], c[-1]) for c, _ in found], bool)
             ratios = np.array([r for _, r in found]).reshape(len(found), len(RATIOS))
             scores = forest.score(ratios) - forest.threshold if forest else np.zeros(len(found))
-            yield batch.append_column(name, pa.array(np.where(failed, 1.0, scores)))
+            yield from slices([batch.append_column(name, pa.array(np.where(failed, 1.0, scores)))])
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(each, schema).where(F.col(name) <= 0).drop(name)

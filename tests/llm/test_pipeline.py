@@ -1,9 +1,12 @@
 """The pipeline's stages one after another, against their brute-force versions."""
 
 import brute
+import public_tokenizers
+import pyarrow as pa
 
 import corpus_pipeline as p
-from shelfmark.llm import mixing, quality
+from shelfmark.llm import bpe, mixing, personal, quality
+from shelfmark.llm.common import SLICE
 
 
 def test_stages(spark, sf):
@@ -35,3 +38,41 @@ def test_odd_rows(spark, odd, empty, sf):
         for _, stage in p.STAGES[:-1]:
             docs = stage(spark, docs, sf)
             assert docs.columns == odd.columns
+
+
+def test_small_batches(spark, monkeypatch):
+    """What a worker makes of an Arrow batch, however long, comes in pieces: all its rows in their order."""
+    rows = [(i, f"mail a{i}@b.example and word{i} " * 20, "a", 0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    kind, workers = type(docs), []
+    inner = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, *a: workers.append((df, f)) or inner(df, f, *a))
+    quality.keep(docs, None)
+    personal.redact(docs)
+    p.encode(spark, docs, "")
+    assert len(workers) == 4
+    for df, f in workers:
+        batch = pa.Table.from_batches(df.orderBy("doc_id").toArrow().to_batches()).combine_chunks().to_batches()[0]
+        assert batch.num_rows == len(rows)
+        out = list(f(iter([batch])))
+        assert max(b.num_rows for b in out) <= SLICE < len(rows)
+        assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(len(rows)))
+        assert not list(f(iter([batch.slice(0, 0)])))
+
+
+def test_codec_remembers_little(monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        codec = bpe.Codec(bpe.read_ranks(lines), public_tokenizers.PATTERN)
+    plain = codec.encode("zqxv once and wvkjq twice")
+    assert not codec.young  # chunks met once
+    assert codec.encode("zqxv once and wvkjq twice") == plain and " wvkjq" in codec.young
+    assert codec.encode("zqxv once and wvkjq twice") == plain
+    for i in range(400):
+        codec.encode(f" qwz{i * 7919}xj{i * 104729}kv")
+    arcs = codec.machine.arcs.values()
+    assert len({id(a) for a in arcs}) == len(set(arcs)) < len(arcs)
+    monkeypatch.setattr(bpe, "CACHED", 10)
+    for i in range(40):
+        for _ in range(2):
+            codec.encode(f" qwz{i}")
+    assert len(codec.young) <= 10 and sum(codec.met) <= 20
